@@ -719,6 +719,8 @@ class FractalHeap:
         key = int.from_bytes(heap_id[1 : 1 + min(f.l, c.left)], "little")
         if self._huge is None:
             self._huge = {}
+            if self.huge_tree is None:
+                raise FormatError("a huge heap object without a tree")
             kind, records = f.tree_v2(self.huge_tree)
             for rec in records:
                 r = f.cursor(rec)

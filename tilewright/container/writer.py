@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import struct
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -209,6 +207,30 @@ def choose_index(shape, chunk, most, filtered: bool, early: bool) -> str:
 # -- the file -----------------------------------------------------------------------
 
 
+class GlobalHeap:
+    """Variable-length objects, in collections of bounded size. A collection's place is
+    known when it begins, for nothing else is laid out until it is flushed."""
+
+    MOST_BYTES, MOST_OBJECTS = 1 << 20, 65_000
+
+    def __init__(self, builder: Builder):
+        self.builder, self.body, self.n = builder, bytearray(), 0
+
+    def add(self, data: bytes) -> tuple[int, int]:
+        if self.n and (len(self.body) + len(data) > self.MOST_BYTES or self.n >= self.MOST_OBJECTS):
+            self.flush()
+        self.n += 1
+        self.body += u16(self.n) + u16(1) + u32(0) + u64(len(data)) + data + b"\0" * (-len(data) % 8)
+        return len(self.builder.out) + -len(self.builder.out) % 8, self.n
+
+    def flush(self) -> None:
+        if self.n:
+            free = max(16, 4096 - 16 - len(self.body))
+            self.body += u16(0) + u16(0) + u32(0) + u64(free) + b"\0" * (free - 16)
+            self.builder.put(b"GCOL" + bytes((1, 0, 0, 0)) + u64(16 + len(self.body)) + bytes(self.body))
+        self.body, self.n = bytearray(), 0
+
+
 class Builder:
     """Lays a tree out in one buffer. ``times``: the four header times, or None."""
 
@@ -277,31 +299,11 @@ class Builder:
         return bytes((3, int(shared))) + u16(len(name)) + u16(len(t)) + u16(len(space)) + b"\1" + name + t + space + self.elements(a.type, a.values)
 
     def elements(self, t: Type, values: list) -> bytes:
-        """The values' bytes; variable-length ones go to heap collections first."""
-        found: list[bytes] = []
-
-        def collect(data: bytes) -> tuple[int, int]:
-            found.append(data)
-            return 0, 0
-
-        raw = encode(t, values, collect)
-        if not found:
-            return raw
-        places = iter(list(self.global_heap(found)))
-        return encode(t, values, lambda data: next(places))
-
-    def global_heap(self, objects: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-        at = 0
-        while at < len(objects):
-            body, end = bytearray(), at
-            while end < len(objects) and end - at < 65000 and (end == at or len(body) + len(objects[end]) < most):
-                body += u16(end - at + 1) + u16(1) + u32(0) + u64(len(objects[end])) + objects[end] + b"\0" * (-len(objects[end]) % 8)
-                end += 1
-            free = max(16, 4096 - 16 - len(body))
-            body += u16(0) + u16(0) + u32(0) + u64(free) + b"\0" * (free - 16)
-            address = self.put(b"GCOL" + bytes((1, 0, 0, 0)) + u64(16 + len(body)) + bytes(body))
-            yield from ((address, k + 1) for k in range(end - at))
-            at = end
+        """The values' bytes; variable-length ones go to heap collections in front."""
+        heap = GlobalHeap(self)
+        raw = encode(t, values, heap.add)
+        heap.flush()
+        return raw
 
     def fractal_heap(self, objects: list[bytes], id_size: int) -> tuple[int, list[bytes]]:
         """(address, heap ids): one direct block as large as needed."""
@@ -518,7 +520,3 @@ def encoded_tiles(raw: bytes, node: DatasetNode) -> dict[tuple[int, ...], tuple[
 def build(root: GroupNode, times=None, superblock_version: int = 3) -> bytes:
     """The container's bytes."""
     return bytes(Builder(root, times, superblock_version).out)
-
-
-def pack(fmt: str, *values) -> bytes:
-    return struct.pack("<" + fmt, *values)
