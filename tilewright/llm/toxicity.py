@@ -36,10 +36,11 @@ _FOLD = dict(zip(map(ord, "аеорсухіјѕԁһӏкмтвнзбαεορτυ
 _FOLD |= {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
 _FOLD |= {0xFF21 + k: chr(97 + k) for k in range(26)} | {0xFF41 + k: chr(97 + k) for k in range(26)}
 _FOLD |= dict.fromkeys(map(ord, "“”‘’«»–—…¿¡\u00a0"), " ")
+_INSIDE = re.compile(r"(?<=\w)[!|](?=\w)")
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
-#: 1, ! and | may stand for l or i, so all of them and l itself become i.
+#: 1 may stand for l or i, so it and l itself become i; ! and | do so between letters.
 _BYTES = bytearray(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-for _a, _b in zip(b"013457@$!|lL", b"oieastasiiii", strict=True):
+for _a, _b in zip(b"013457@$lL", b"oieastasii", strict=True):
     _BYTES[_a] = _b
 _BYTES = bytes(_BYTES)
 
@@ -49,10 +50,17 @@ def fold(text: str | None) -> str:
     low = (text or "").lower()
     if not low.isascii() and _ODD.search(low):
         low = low.translate(_FOLD)
+    if "!" in low or "|" in low:
+        low = _INSIDE.sub("i", low)
     words = low.encode("utf-8", "replace").translate(_BYTES).split()
     return f" {b' '.join(words).decode('utf-8', 'replace')} "
 
 
+def fold_term(term: str) -> str:
+    """A folded term; a space at an end says that a word begins or ends there."""
+    return " " * term.startswith(" ") + fold(term).strip() + " " * term.endswith(" ")
+
+
 def _terms(words: set[str]) -> set[str]:
     """Whole words (with spaces) and beginnings of words (a space before)."""
     out = {f" {w} " for w in words}
@@ -65,7 +73,8 @@ class Lexicon:
     """Weighted terms and exception phrases in one automaton."""
 
     def __init__(self, weights: dict[str, float], exceptions: frozenset[str] = frozenset(), curve=(0.0, 0.0, 0.0)):
-        self.weights, self.exceptions, self.curve = dict(weights), frozenset(exceptions), tuple(curve)
+        self.weights = {fold_term(t): w for t, w in weights.items()}
+        self.exceptions, self.curve = frozenset(map(fold_term, exceptions)), tuple(curve)
         self._automaton = None
 
     def __getstate__(self):
