@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tilewright.llm import decontam, linededup, quality, simhash, spm
 from tilewright.llm.common import stored
 
+#: Up to so many ids are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: SQL cannot express a discriminant, SimHash or SentencePiece; tests/llm holds run()
 #: against a brute-force version.
 ORACLE_SQL = None
@@ -29,12 +31,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles): that with the
-    smallest id. Rows that repeat an id and text count as one; a null id stays only
-    where no other document is in its group."""
-    groups = simhash.components(simhash.fingerprints(docs, width=5))
-    lost = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    return docs.join(lost.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group of near copies (0.8 of their five-word shingles): that
+    with the smallest id. Rows with a null id stay."""
+    groups = simhash.similar(docs, width=5)
+    lost = stored(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
+    lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
+    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

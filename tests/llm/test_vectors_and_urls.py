@@ -120,6 +120,26 @@ def test_mined_rules_by_hand(spark):
             assert got[k].verdict == "block"
 
 
+def test_similar_texts(spark):
+    """Copies with 0.8 or more of their five-word shingles are grouped, others are not."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(300)] for _ in range(30)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k, w in enumerate(base):
+        for c in range(3):
+            own = list(w)
+            for _ in range(c * 3):
+                own[rng.randrange(300)] = "changed"
+            rows.append((100 + 3 * k + c, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, " "), (None, rows[0][1]), (903, "one two three"), (904, "one two three"), (905, "one two four")]
+    got = dict((r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")).collect())
+    for k in range(30):
+        assert got[k] == k and all(got[100 + 3 * k + c] == k for c in range(3))
+    assert got[900] == got[901] == got[902] == 900 and got[None] == 0 and (got[903], got[904], got[905]) == (903, 903, 905)
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     """Every stage on its own input against what the stage must keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -133,17 +153,13 @@ def test_pipeline(spark, sf_dir):
     want = {r.doc_id: r.text for r in linededup.without_repeated_lines(now).collect()}
     assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()} and lines.columns == columns
     kept = common.stored(corpus_pipeline.STAGES[2][1](spark, lines, sf_dir))
-    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in want.items()}
-    left = sorted(fps)
-    root = {i: i for i in left}
-    for a in left:
-        for b in left:
-            if b < a and (fps[a] ^ fps[b]).bit_count() <= 4:
+    wide = {i: simhash._wide(t.encode(), 5) for i, t in want.items()}
+    root = {i: i for i in wide}
+    for a in wide:
+        for b in wide:
+            if b < a and int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= simhash.APART and root[a] != root[b]:
                 x, y = root[a], root[b]
-                low = min(x, y)
-                for k in left:
-                    if root[k] in (x, y):
-                        root[k] = low
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert {r.doc_id for r in kept.collect()} == set(root.values()) and kept.columns == columns
     clean = common.stored(corpus_pipeline.STAGES[3][1](spark, kept, sf_dir))
     leaks = {r.doc_id for r in decontam.contained(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}

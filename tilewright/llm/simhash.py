@@ -89,11 +89,11 @@ def _variants(bits: int, left: np.ndarray) -> np.ndarray:
     return np.where(left == 2, 1 + bits + bits * (bits - 1) // 2, np.where(left == 1, 1 + bits, 1))
 
 
-def _addressed(fps: np.ndarray, half: int, lead: int, deeper: dict[int, int]):
+def _addressed(fps: np.ndarray, half: int, lead: int, deeper: dict[int, int], bits: int = 64):
     """(bucket, depth, index of the fingerprint, changes left): a row for each bucket
     that holds some variant. A bucket is the leading ``depth`` bits."""
     masks, cost = _masks(lead, half)
-    heads = (fps >> np.uint64(64 - lead))[:, None] ^ masks[None, :]
+    heads = (fps >> np.uint64(bits - lead))[:, None] ^ masks[None, :]
     index = np.repeat(np.arange(len(fps)), len(masks))
     bucket, left = heads.ravel(), np.tile(half - cost, len(fps))
     if not deeper:
@@ -106,7 +106,7 @@ def _addressed(fps: np.ndarray, half: int, lead: int, deeper: dict[int, int]):
             at = own & (left == k)
             if at.any():
                 masks, cost = _masks(more, k)
-                next_bits = (fps[index[at]] >> np.uint64(64 - lead - more)) & np.uint64((1 << more) - 1)
+                next_bits = (fps[index[at]] >> np.uint64(bits - lead - more)) & np.uint64((1 << more) - 1)
                 sub = (next_bits[:, None] ^ masks[None, :]) | (np.uint64(b) << np.uint64(more))
                 out.append((sub.ravel(), lead + more, np.repeat(index[at], len(masks)), np.tile(k - cost, int(at.sum()))))
     return out
@@ -130,9 +130,10 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int):
-    """Pairs of indices that share a variant in the bucket, in parts of bounded size."""
-    free = 64 - depth
+def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int, bits: int = 64, to_first: bool = False):
+    """Pairs of indices that share a variant in the bucket, in parts of bounded size: each
+    fingerprint with the one before it at the variant, and with the first if asked for."""
+    free = bits - depth
     if len(fps) < 2:
         return
     if _variants(free, left).sum() > part and free > 8:
@@ -140,7 +141,7 @@ def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int):
         for v in (0, 1):
             now = left - (bit != v)
             own = np.flatnonzero(now >= 0)
-            for a, b in _met(fps[own], now[own], depth + 1, radius, part):
+            for a, b in _met(fps[own], now[own], depth + 1, radius, part, bits, to_first):
                 yield own[a], own[b]
         return
     keys, owners = [], []
@@ -154,8 +155,12 @@ def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int):
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(key)
     key, owner = key[order], owner[order]
-    same = np.flatnonzero(key[1:] == key[:-1])
+    new = key[1:] != key[:-1]
+    same = np.flatnonzero(~new)
     a, b = owner[same].astype(np.int64), owner[same + 1].astype(np.int64)
+    if to_first:
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], new]), np.arange(len(key)), 0))
+        a, b = np.concatenate([a, owner[first[same + 1]]]), np.concatenate([b, b])
     pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
     a, b = pairs // len(fps), pairs % len(fps)
     near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
@@ -212,15 +217,141 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
     return rows.groupBy("bucket", "depth").applyInPandas(meet, "a long, b long").distinct()
 
 
+def _named(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """rows with component_id, the smallest doc_id of the group of their key."""
+    keys = rows.groupBy(key).agg(F.min("doc_id").alias("least"))
+    named = keys.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select(key, "root").join(least, "root").select(key, "component_id"), key)
+
+
 def components(rows: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for rows (doc_id, fp)."""
     rows = stored(rows.select("doc_id", "fp"))
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(fps, radius))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    fps = stored(rows.select("fp").distinct())
+    return _named(rows, "fp", connected_components(links(fps, radius))).select("doc_id", "fp", "component_id")
+
+
+# -- similarity by wide fingerprints ------------------------------------------------
+
+#: Bits of a wide fingerprint, bits of each part of it that is a key of its own, and how
+#: many bits of all may differ: 0.8 of common five-word shingles change 38 on average,
+#: with a deviation of 6; unrelated texts differ in 128 with a deviation of 8.
+WIDE, KEY, APART = 256, 32, 52
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    """A fingerprint of WIDE bits, as four numbers."""
+    words = data.lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(WIDE // 64, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    k = min(width, n)
+    starts = np.concatenate([[0], ends[: n - k]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    out = np.zeros(WIDE // 64, np.uint64)
+    for w in range(WIDE // 64):
+        own = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        own ^= own >> np.uint64(32)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 16):
+            part = own[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _nodes(wide: np.ndarray) -> np.ndarray:
+    """One long for each wide fingerprint."""
+    h = np.zeros(len(wide), np.uint64)
+    for w in range(wide.shape[1]):
+        h = (h ^ wide[:, w]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts that have about 0.8 or more
+    of their ``width``-word shingles in common.
+
+    One 64-bit fingerprint within four bits only finds texts that are nearly equal. So
+    each text has a fingerprint of 256 bits, cut into eight keys of 32; each key is ball
+    hashed with radius four (at 0.8, a pair meets in one of the eight with 0.99), and
+    whatever meets is verified by all 256 bits. Equal fingerprints are merged before."""
+    half, bits = 2, KEY
+
+    def made(batches):
+        for whole in batches:
+            for batch in pieces_of(whole):
+                wide = np.array([_wide(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, WIDE // 64)
+                data = pa.array([w.tobytes() for w in wide], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(wide)), data], ["doc_id", "node", "wide"])
+
+    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, node long, wide binary"))
+    fps = stored(rows.select("wide").distinct())
+    n = fps.count()
+    lead = int(min(16, max(2, np.ceil(np.log2(max(1, n * int(_variants(bits, np.array(half))) / (4 * BUCKET)))))))
+
+    def keys(wide: np.ndarray):
+        for t in range(WIDE // bits):
+            yield t, (wide[:, t * bits // 64] >> np.uint64(t * bits % 64)) & np.uint64((1 << bits) - 1)
+
+    def spread(batches):
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            for t, key in keys(wide):
+                bucket, _, index, _ = _addressed(key, half, lead, {}, bits)[0]
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange((1 << lead) + 1).astype(np.uint64))
+                for b in np.flatnonzero(np.diff(ends)).tolist():
+                    for at in range(int(ends[b]), int(ends[b + 1]), 20_000):
+                        own = index[order[at : min(at + 20_000, int(ends[b + 1]))]]
+                        yield pa.RecordBatch.from_arrays([pa.array([t << lead | b], pa.int64()), pa.array([wide[own].tobytes()], pa.binary())], ["bucket", "data"])
+
+    def meet(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        t, bucket = key[0] >> lead, np.uint64(key[0] & ((1 << lead) - 1))
+        wide = np.concatenate([np.frombuffer(d, np.uint64) for d in got["data"]]).reshape(-1, WIDE // 64)
+        own = next(k for s, k in keys(wide) if s == t)
+        left = half - np.bitwise_count((own >> np.uint64(bits - lead)) ^ bucket).astype(np.int64)
+        label, tree = np.arange(len(own)), []
+        for a, b in _met(own, left, lead, 2 * half, PART, bits, to_first=True):
+            near = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= apart
+            a, b = a[near], b[near]
+            fresh = label[a] != label[b]
+            a, b = a[fresh], b[fresh]
+            kept = _spanning(label, a, b)
+            tree.append(np.column_stack([a[kept], b[kept]]))
+            label = _forest(len(own), np.concatenate([a, np.arange(len(own))]), np.concatenate([b, label]))
+        tree = np.concatenate(tree) if tree else np.zeros((0, 2), np.int64)
+        names = _nodes(wide)
+        return pd.DataFrame({"a": names[tree[:, 0]], "b": names[tree[:, 1]]})
+
+    n_parts = int(max(docs.sparkSession.sparkContext.defaultParallelism * 4, (WIDE // bits << lead) // 2))
+    sent = fps.mapInArrow(spread, "bucket long, data binary").repartition(n_parts, "bucket")
+    edges = sent.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    return _named(rows.select("doc_id", "node"), "node", connected_components(edges)).select("doc_id", "component_id")
+
+
+def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links make up a forest over the components ``label``."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return np.array(out, np.int64)
 
 
 def judged(docs: DataFrame) -> DataFrame:
