@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from tilewright.container import types as T
 from tilewright.container.writer import GroupNode, build
+from tilewright.__main__ import main
 from tilewright.functions import dims
+from tilewright.operators import blobs as blobs_module
 from tilewright.operators import tiles
 from tilewright.sources import arrays
 
@@ -123,3 +125,19 @@ def test_hyperslab_arguments(spark):
         dims.hyperslab(spark.range(1), [0, 0], [1])
     with pytest.raises(ValueError):
         dims.hyperslab(spark.range(1), [-1], [1], ["id"])
+
+
+def test_containers_as_bytes(spark, path):
+    blobs = spark.read.format("binaryFile").load(path)
+    got = blobs_module.cells_of(blobs, "/data", T.floating(4), 2)
+    assert got.count() == 3200 and got.where("d0 = 3 and d1 = 4").first().value == 196.0
+    assert [r.value for r in blobs_module.cells_of(blobs, "/scalar", T.integer(4), 0).collect()] == [7]
+    assert {r.path for r in blobs_module.objects_of(blobs).collect()} >= {"/", "/data", "/points"}
+
+
+def test_command_line(path, capsys):
+    assert main(["info", path]) == 0 and "/data: float32 little-endian (50, 64), chunked [16, 10] by fixed array, shuffle + deflate" in capsys.readouterr().out
+    assert main(["info", path, "--read-dataset", "/data"]) == 0 and capsys.readouterr().out == "[0.0, 1.0, 2.0, 3.0, 4.0]\n"
+    assert main(["json", path, "-d", "/points"]) == 0 and '"c": "RED"' in capsys.readouterr().out
+    assert main(["json", path, "-H"]) == 0 and '"data":' not in capsys.readouterr().out.replace('"data": {', "")
+    assert main(["json", "/nowhere"]) == 1
