@@ -26,7 +26,7 @@ from tilewright.llm.common import connected_components, stored
 from tilewright.llm.simhash import _forest
 
 #: Vectors of a shard at most, and links of a node on the lowest layer.
-SHARD, LINKS = 8192, 24
+SHARD, LINKS = 8192, 16
 
 
 class Graph:
@@ -36,7 +36,7 @@ class Graph:
         self.v, self.layers, self.entry = vectors, layers, entry
 
     @classmethod
-    def build(cls, vectors: np.ndarray, links: int = LINKS, beam: int = 48, seed: int = 11) -> Graph:
+    def build(cls, vectors: np.ndarray, links: int = LINKS, beam: int = 24, seed: int = 11) -> Graph:
         n = len(vectors)
         level = np.minimum(4, (-np.log(np.random.default_rng(seed).random(n)) / np.log(links)).astype(int))
         level[0] = level.max()
@@ -47,7 +47,7 @@ class Graph:
             entry = np.zeros((len(new), 1), np.int64)
             for k in range(len(g.layers) - 1, -1, -1):
                 here = level[new] >= k
-                found, sims = g._search(vectors[new], entry, beam if here.any() else 4, k, done)
+                found, sims = g._search(vectors[new], entry, beam if here.any() else 4, k)
                 entry = found[:, :4]
                 own = np.flatnonzero(here)
                 if len(own):
@@ -55,7 +55,7 @@ class Graph:
             done = int(new[-1]) + 1
         return g
 
-    def _search(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int, n: int | None = None, at_once: int = 4):
+    def _search(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int, at_once: int = 8):
         """Beams (ids, similarities), best first, for many queries at once. Missing: -1."""
         v, links = self.v, self.layers[layer]
         m = len(q)
@@ -88,8 +88,9 @@ class Graph:
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             near[(near < 0) | seen[r, near]] = -1
             seen[r, np.where(near < 0, len(v), near)] = True
-            s = np.einsum("akd,ad->ak", v[near], q[live])
-            s[near < 0] = -np.inf
+            s = np.full(near.shape, -np.inf, np.float32)
+            who, what = np.nonzero(near >= 0)
+            s[who, what] = np.einsum("kd,kd->k", v[near[who, what]], q[live[who]])
             all_s = np.concatenate([sims[live], s], 1)
             top = np.argpartition(-all_s, beam - 1, 1)[:, :beam]
             sims[live] = np.take_along_axis(all_s, top, 1)
@@ -165,22 +166,27 @@ class Graph:
 
     def above(self, q: np.ndarray, least: float, beam: int, block: int = 384):
         """(query, node) pairs of similarity ``least`` or more; beams full of such are
-        doubled until they are not."""
-        out, todo = [], [(np.arange(len(q))[k : k + block], beam) for k in range(0, len(q), block)]
+        widened until they are not. Where a beam would hold a sixteenth of the shard, it
+        would see most of it anyway, and the query is answered by all of the shard."""
+        n, out = len(self.v), []
+        todo = [(np.arange(len(q))[k : k + block], beam) for k in range(0, len(q), block)]
         while todo:
             own, width = todo.pop()
-            width = min(width, len(self.v))
+            if 16 * width > n:
+                r, c = np.nonzero(q[own] @ self.v.T >= least)
+                out.append((own[r], c))
+                continue
             ids, sims = self.query(q[own], width)
             hit = (sims >= least) & (ids >= 0)
-            full = hit[:, -1] & (width < len(self.v))
+            full = hit[:, -1]
             r, c = np.nonzero(hit & ~full[:, None])
             out.append((own[r], ids[r, c]))
             again = own[full]
-            size = max(16, block * beam // (2 * width))
-            todo += [(again[k : k + size], 2 * width) for k in range(0, len(again), size)]
+            size = max(16, block * beam // (4 * width))
+            todo += [(again[k : k + size], 4 * width) for k in range(0, len(again), size)]
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
-    def audited(self, q: np.ndarray, least: float, beam: int = 32, share: int = 48):
+    def audited(self, q: np.ndarray, least: float, beam: int = 24, share: int = 4):
         """above() with beams widened until an audit against brute force misses no link."""
         sample = np.unique(np.linspace(0, len(q) - 1, max(64, len(q) // share)).astype(int))
         truth = self.v @ q[sample].T >= least
@@ -189,7 +195,7 @@ class Graph:
             a, b = self.above(q, least, beam)
             own = np.isin(a, sample)
             got = set(zip(a[own].tolist(), b[own].tolist(), strict=True))
-            if beam >= len(self.v) or want <= got:
+            if 16 * beam > len(self.v) or want <= got:
                 return a, b
             beam *= 2
 
