@@ -128,7 +128,7 @@ class Scanner:
         self.base = {f" {p} ".encode(): label for p, label in (BASE if base is None else base).items()}
 
     def scan(self, text: bytes | None) -> dict:
-        """n_words; places: (word, label) of base phrases; spans: (start, end, label) of
+        """n_words; places: (word, end, label) of base phrases; spans: (start, end, label) of
         accepted passages, in words."""
         words = words_of(text or b"")
         joined = b" " + b" ".join(words) + b" "
@@ -139,7 +139,7 @@ class Scanner:
             while at >= 0:
                 seen += joined.count(b" ", since, at)
                 since = at
-                places.append((seen, label))
+                places.append((seen, seen + phrase.count(b" ") - 1, label))
                 at = joined.find(phrase, at + 1)
         for label, a in self.automata:
             if a.anchor in joined:
@@ -154,7 +154,7 @@ class Scanner:
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, n_words, places, spans) of every row."""
     scanner = scanner or Scanner()
-    place = pa.struct([("word", pa.int64()), ("label", pa.string())])
+    place = pa.struct([("word", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
 
     def rows(batches):
@@ -163,18 +163,20 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 got = [scanner.scan(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([g["n_words"] for g in got], pa.int64()),
-                    pa.array([[{"word": w, "label": x} for w, x in g["places"]] for g in got], pa.list_(place)),
+                    pa.array([[{"word": w, "end": e, "label": x} for w, e, x in g["places"]] for g in got], pa.list_(place)),
                     pa.array([[{"start": s, "end": e, "label": x} for s, e, x in g["spans"]] for g in got], pa.list_(span)),
                 ], ["doc_id", "n_words", "places", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_words long, places array<struct<word:long,label:string>>, spans array<struct<start:long,end:long,label:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_words long, places array<struct<word:long,end:long,label:string>>, spans array<struct<start:long,end:long,label:string>>")
 
 
 def judged(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """One row for each document: counts, first and last place, labels, and as the score
-    the share of words in accepted passages."""
+    the share of words in accepted passages and base phrases."""
     out = scan(docs, scanner)
-    covered = F.expr("aggregate(spans, named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(s.start, a.e)), 'e', greatest(a.e, s.end)), a -> a.n)")
+    passages = F.expr("array_sort(concat(transform(places, p -> named_struct('start', p.word, 'end', p.end)), transform(spans, s -> named_struct('start', s.start, 'end', s.end))))")
+    out = out.withColumn("passages", passages)
+    covered = F.expr("aggregate(passages, named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(s.start, a.e)), 'e', greatest(a.e, s.end)), a -> a.n)")
     return out.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.expr("array_min(places.word)").alias("first_word"), F.expr("array_max(places.word)").alias("last_word"),
         F.expr("array_join(array_sort(array_distinct(places.label)), ',')").alias("base_labels"),
