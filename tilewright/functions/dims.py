@@ -86,3 +86,9 @@ def fill_missing(cells: DataFrame, grid: DataFrame, dims: Sequence[str], value:
 def index_kind(free: Column, chunks: Column, filtered: Column, early: Column) -> Column:
     """The chunk index that a writer takes."""
     return F.when(free > 1, "b-tree v2").when(free == 1, "extensible array").when(chunks == 1, "single").when(early & ~filtered, "implicit").otherwise("fixed array")
+
+
+def number_at(data: str | Column, at: Column, size: int) -> Column:
+    """The little-endian number of ``size`` bytes at place ``at`` (from 1) of a binary."""
+    byte = lambda k: F.conv(F.hex(F.substring(_col(data), at + k, F.lit(1))), 16, 10).cast("long")
+    return reduce(Column.bitwiseOR, [F.shiftleft(byte(k), 8 * k) for k in range(size)])

@@ -44,6 +44,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS = "(SELECT vec_id AS d0, unnest(range(64)) AS d1, unnest(embedding) AS value FROM embeddings)"
+TREE = "(SELECT '/' || r_name AS path, '/' AS parent, r_name AS name FROM region UNION ALL SELECT '/' || r_name || '/' || n_name, '/' || r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 P_SIZES = "(SELECT p_partkey // 256 AS chunk, p_partkey % 256 AS i, p_size AS v FROM part)"
 
 
@@ -184,8 +185,7 @@ def shuffle_bytes(spark, sf_dir):
 s AS (SELECT chunk, sum(w)::BIGINT AS a, sum(w * (512 - pos))::BIGINT AS b FROM w GROUP BY chunk)
 SELECT chunk, CASE WHEN b = 0 THEN 0 ELSE (b - 1) % 65535 + 1 END * 65536 + CASE WHEN a = 0 THEN 0 ELSE (a - 1) % 65535 + 1 END AS checksum FROM s""")
 def fletcher32(spark, sf_dir):
-    tail = F.reverse(F.expr("substring(data, -4)"))
-    return _stored_bytes(spark, sf_dir, [(codecs.FLETCHER32, [])]).select("chunk", F.conv(F.hex(tail), 16, 10).cast("long").alias("checksum"))
+    return _stored_bytes(spark, sf_dir, [(codecs.FLETCHER32, [])]).select("chunk", dims.number_at("data", F.length("data") - 3, 4).alias("checksum"))
 
 
 def _there_and_back(spark, sf_dir, pipeline):
@@ -232,9 +232,8 @@ def lzf_literal(spark, sf_dir):
 @query(f"SELECT chunk, min(v) AS least, max(v) - min(v) AS span, length(ltrim(bin(max(v) - min(v)), '0')) AS bits FROM {FULL} GROUP BY chunk")
 def scaleoffset_params(spark, sf_dir):
     rows = _stored_bytes(spark, sf_dir, [(codecs.SCALEOFFSET, codecs.scaleoffset_params(256, 4, True))])
-    number = lambda at, n: F.conv(F.hex(F.reverse(F.expr(f"substring(data, {at}, {n})"))), 16, 10).cast("long")
     p = table(spark, sf_dir, "part").groupBy(dims.chunk_of("p_partkey", 256).alias("chunk")).agg((F.max("p_size") - F.min("p_size")).alias("span"))
-    return rows.join(p, "chunk").select("chunk", number(6, 8).cast("int").alias("least"), "span", number(1, 4).alias("bits"))
+    return rows.join(p, "chunk").select("chunk", dims.number_at("data", F.lit(6), 8).cast("int").alias("least"), "span", dims.number_at("data", F.lit(1), 4).alias("bits"))
 
 
 @query(f"SELECT p.chunk, i AS place, v - least AS residual FROM {FULL} p JOIN (SELECT chunk, min(v) AS least FROM {FULL} GROUP BY chunk) m ON m.chunk = p.chunk")
@@ -468,6 +467,107 @@ def container_objects(spark, sf_dir):
     return spark.read.format("tilewright").option("view", "objects").load(_embedding_container(spark, sf_dir)).select("path", "kind", "parent")
 
 
+MOST_ROWS = 2_000_000
+
+
+def _one_container(df: DataFrame, make) -> str:
+    """A container that make(root, rows as a pandas frame) fills, laid out by one task. The
+    rows are counted first: one file holds a bounded table."""
+    import os
+
+    from tilewright.container.writer import GroupNode, build
+
+    spark = df.sparkSession
+    arrays.register(spark)
+    if df.count() > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} rows are written as a folder of containers")
+    path = scratch(spark)
+
+    def lay_out(key: tuple, rows):
+        import pandas as pd
+
+        root = GroupNode()
+        make(root, rows.drop(columns="one"))
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/one.h5", "wb") as out:
+            out.write(build(root))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    df.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lay_out, "n long").collect()
+    return f"{path}/one.h5"
+
+
+@query("SELECT p_partkey, p_size AS size, p_retailprice AS price, p_brand AS brand FROM part")
+def container_compound(spark, sf_dir):
+    """part as compounds with a big-endian member, compressed, and members read alone."""
+
+    def make(root, rows):
+        t = T.compound(("key", T.integer(8)), ("size", T.integer(4, order=">")), ("price", T.floating(8)), ("brand", T.fixed_string(16)))
+        values = [{"key": k, "size": s, "price": p, "brand": b} for k, s, p, b in rows.itertuples(index=False)]
+        root.dataset("data", t, (len(values),), values, chunk=(512,), filters=((codecs.DEFLATE, (4,)),))
+
+    path = _one_container(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand"), make)
+    return spark.read.format("tilewright").load(path).select(F.col("value.key").alias("p_partkey"), "value.size", "value.price", "value.brand")
+
+
+@query("SELECT event_id AS d0, event_type AS label FROM events")
+def container_enum(spark, sf_dir):
+    def make(root, rows):
+        rows = rows.sort_values("event_id")
+        names = sorted(set(rows["event_type"]))
+        t = T.enum(T.integer(1), **{n: k for k, n in enumerate(names)})
+        root.dataset("data", t, (len(rows),), [names.index(x) for x in rows["event_type"]], chunk=(1000,), most=(None,))
+
+    path = _one_container(table(spark, sf_dir, "events").select("event_id", "event_type"), make)
+    return spark.read.format("tilewright").option("labels", "true").load(path).select("d0", F.col("value").alias("label"))
+
+
+@query("SELECT p_partkey AS d0, CASE WHEN p_partkey // 100 % 2 = 0 THEN p_size ELSE -999 END AS value FROM part")
+def container_fill(spark, sf_dir):
+    """Every other chunk was never written; its cells have the fill value."""
+
+    def make(root, rows):
+        rows = rows.sort_values("p_partkey")
+        d = root.dataset("data", T.integer(4), (len(rows),), None, chunk=(100,), most=(None,), fill=-999)
+        sizes = rows["p_size"].tolist()
+        d.tiles = {(k,): codecs.encode(T.encode(T.integer(4), (sizes[100 * k : 100 * k + 100] + [-999] * 100)[:100]), ()) for k in range(0, -(-len(sizes) // 100), 2)}
+
+    path = _one_container(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make)
+    return spark.read.format("tilewright").load(path)
+
+
+def _tree_container(spark, sf_dir) -> str:
+    def make(root, rows):
+        groups = {}
+        for region, nation in rows.sort_values(["r_regionkey", "n_nationkey"])[["r_name", "n_name"]].itertuples(index=False):
+            if region not in groups:
+                groups[region] = root.group(region, ordered=True, dense_links=2)
+            groups[region].group(nation)
+        for region in sorted(groups):
+            root.soft(f"to {region}", f"/{region}")
+
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    return _one_container(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_regionkey", "n_nationkey", "r_name", "n_name"), make)
+
+
+@query(f"SELECT path, parent, 'group' AS kind FROM {TREE} UNION ALL SELECT '/', NULL, 'group'")
+def container_tree(spark, sf_dir):
+    """Regions and nations as groups, the nations' links in dense storage."""
+    return spark.read.format("tilewright").option("view", "objects").load(_tree_container(spark, sf_dir)).select("path", "parent", "kind")
+
+
+@query("SELECT n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT - 1 AS creation_order FROM nation")
+def container_creation_order(spark, sf_dir):
+    links = spark.read.format("tilewright").option("view", "links").load(_tree_container(spark, sf_dir))
+    return links.where("parent <> '/'").select("name", "creation_order")
+
+
+@query("SELECT 'to ' || r_name AS name, '/' || r_name AS target_path, 'soft' AS kind FROM region")
+def container_links(spark, sf_dir):
+    links = spark.read.format("tilewright").option("view", "links").load(_tree_container(spark, sf_dir))
+    return links.where("kind = 'soft'").select("name", "target_path", "kind")
+
+
 # -- trees --------------------------------------------------------------------------
 
 
@@ -480,7 +580,6 @@ def _tree(spark, sf_dir) -> DataFrame:
     return top.union(below.select(F.concat("rp", F.lit("/"), "n_name"), F.col("rp"), F.col("n_name")))
 
 
-TREE = "(SELECT '/' || r_name AS path, '/' AS parent, r_name AS name FROM region UNION ALL SELECT '/' || r_name || '/' || n_name, '/' || r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(f"SELECT parent, count(*) AS members, min(name) AS first_name FROM {TREE} GROUP BY parent")
