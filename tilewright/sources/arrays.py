@@ -14,6 +14,7 @@ the driver. Columns become one-dimensional datasets under /table, in chunks. The
 from __future__ import annotations
 
 import glob
+import itertools
 import json
 import math
 import os
@@ -161,8 +162,14 @@ class Reader(DataSourceReader):
                 self.bounds[k] = (low, high)
             yield f
 
-    def _wanted(self, d: Dataset, scaled: tuple[int, ...]) -> bool:
-        return all(s * c < self.bounds[k][1] and min((s + 1) * c, n) > self.bounds[k][0] for k, (s, c, n) in enumerate(zip(scaled, d.chunk_shape, d.shape, strict=True)) if k in self.bounds)
+    def _ranges(self, d: Dataset) -> list[range]:
+        """The chunks inside the bounds, along each dimension."""
+        out = []
+        for k, (c, n) in enumerate(zip(d.chunk_shape, d.shape, strict=True)):
+            low, high = self.bounds.get(k, (0, n))
+            low, high = max(0, low), min(n, high)
+            out.append(range(low // c, -(-high // c)) if low < high else range(0))
+        return out
 
     def partitions(self) -> list[InputPartition]:
         """Chunks in groups of about ``partition_bytes``; a slab that meets no chunk gives
@@ -177,10 +184,10 @@ class Reader(DataSourceReader):
             d = c.dataset(c.resolve(self.options.get("dataset", "/data")))
             found = {x.scaled: x for x in d.chunks()}
             if missing != "skip" and d.space.size:
-                places = np.ndindex(*d.grid()) if d.layout.kind == "chunked" else [(0,) * len(d.shape)]
-                chunks = (found.get(s) or Chunk(s, None, 0) for s in map(tuple, places) if self._wanted(d, s))
+                chunks = (found.get(s) or Chunk(s, None, 0) for s in itertools.product(*self._ranges(d)))
             else:
-                chunks = (x for x in found.values() if self._wanted(d, x.scaled))
+                ranges = self._ranges(d)
+                chunks = (x for x in found.values() if all(s in r for s, r in zip(x.scaled, ranges, strict=True)))
             group, size = [], 0
             for x in chunks:
                 group.append(x)
