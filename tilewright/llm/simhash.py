@@ -130,9 +130,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int, bits: int = 64, to_first: bool = False):
-    """Pairs of indices that share a variant in the bucket, in parts of bounded size: each
-    fingerprint with the one before it at the variant, and with the first if asked for."""
+def _meetings(fps: np.ndarray, left: np.ndarray, depth: int, part: int, bits: int = 64):
+    """(variant, index of the fingerprint), sorted by the variant, of all variants in the
+    bucket, in parts of bounded size; no variant is in two parts."""
     free = bits - depth
     if len(fps) < 2:
         return
@@ -141,8 +141,8 @@ def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int,
         for v in (0, 1):
             now = left - (bit != v)
             own = np.flatnonzero(now >= 0)
-            for a, b in _met(fps[own], now[own], depth + 1, radius, part, bits, to_first):
-                yield own[a], own[b]
+            for key, owner in _meetings(fps[own], now[own], depth + 1, part, bits):
+                yield key, own[owner]
         return
     keys, owners = [], []
     tails = fps & np.uint64((1 << free) - 1)
@@ -153,18 +153,21 @@ def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int,
             keys.append((tails[own][:, None] ^ masks[None, :]).ravel())
             owners.append(np.repeat(own.astype(np.int32), len(masks)))
     key, owner = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(key)
-    key, owner = key[order], owner[order]
-    new = key[1:] != key[:-1]
-    same = np.flatnonzero(~new)
-    a, b = owner[same].astype(np.int64), owner[same + 1].astype(np.int64)
-    if to_first:
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], new]), np.arange(len(key)), 0))
-        a, b = np.concatenate([a, owner[first[same + 1]]]), np.concatenate([b, b])
-    pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
-    a, b = pairs // len(fps), pairs % len(fps)
-    near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
-    yield a[near], b[near]
+    order = np.argsort(key, kind="stable")
+    yield key[order], owner[order].astype(np.int64)
+
+
+def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int):
+    """Pairs of indices that share a variant in the bucket, in parts of bounded size: each
+    fingerprint with the one before it at the variant. All at one variant are within the
+    radius, so these pairs give all components."""
+    for key, owner in _meetings(fps, left, depth, part):
+        same = np.flatnonzero(key[1:] == key[:-1])
+        a, b = owner[same], owner[same + 1]
+        pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+        a, b = pairs // len(fps), pairs % len(fps)
+        near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
+        yield a[near], b[near]
 
 
 def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
@@ -238,6 +241,8 @@ def components(rows: DataFrame, radius: int = 4) -> DataFrame:
 #: many bits of all may differ: 0.8 of common five-word shingles change 38 on average,
 #: with a deviation of 6; unrelated texts differ in 128 with a deviation of 8.
 WIDE, KEY, APART = 256, 32, 52
+#: Fingerprints at a variant that are compared by shifts, and pairs that are compared at a time.
+FEW, PAIRS = 64, 1 << 20
 
 
 def _wide(data: bytes, width: int) -> np.ndarray:
@@ -317,15 +322,9 @@ def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
         wide = np.concatenate([np.frombuffer(d, np.uint64) for d in got["data"]]).reshape(-1, WIDE // 64)
         own = next(k for s, k in keys(wide) if s == t)
         left = half - np.bitwise_count((own >> np.uint64(bits - lead)) ^ bucket).astype(np.int64)
-        label, tree = np.arange(len(own)), []
-        for a, b in _met(own, left, lead, 2 * half, PART, bits, to_first=True):
-            near = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= apart
-            a, b = a[near], b[near]
-            fresh = label[a] != label[b]
-            a, b = a[fresh], b[fresh]
-            kept = _spanning(label, a, b)
-            tree.append(np.column_stack([a[kept], b[kept]]))
-            label = _forest(len(own), np.concatenate([a, np.arange(len(own))]), np.concatenate([b, label]))
+        label, tree, seen = np.arange(len(own)), [], set()
+        for variant, owner in _meetings(own, left, lead, PART, bits):
+            label = _linked(wide, variant, owner, label, apart, tree, seen)
         tree = np.concatenate(tree) if tree else np.zeros((0, 2), np.int64)
         names = _nodes(wide)
         return pd.DataFrame({"a": names[tree[:, 0]], "b": names[tree[:, 1]]})
@@ -336,6 +335,69 @@ def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     return _named(rows.select("doc_id", "node"), "node", connected_components(edges)).select("doc_id", "component_id")
 
 
+def _linked(wide: np.ndarray, variant: np.ndarray, owner: np.ndarray, label: np.ndarray, apart: int, tree: list, seen: set) -> np.ndarray:
+    """The components ``label``, joined by all pairs that share a variant and are at most
+    ``apart`` bits apart; the links that join them go to ``tree``. Only pairs that are in
+    one component already are left out, so the order of the rows makes no difference. A
+    crowd of equal keys meets at every variant and is compared once: ``seen`` has those."""
+
+    def join(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+        fresh = label[a] != label[b]
+        pairs = np.unique(np.minimum(a[fresh], b[fresh]) * len(wide) + np.maximum(a[fresh], b[fresh]))
+        a, b = pairs // len(wide), pairs % len(wide)
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= apart
+        a, b = a[near], b[near]
+        if not len(a):
+            return label
+        kept = _spanning(label, a, b)
+        tree.append(np.column_stack([a[kept], b[kept]]))
+        return _forest(len(wide), np.concatenate([a, np.arange(len(wide))]), np.concatenate([b, label]))
+
+    starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
+    ends = np.append(starts[1:], len(variant))
+
+    def mixed(runs: np.ndarray) -> np.ndarray:
+        """Those of the variants that have several components."""
+        at = label[owner]
+        return runs[(np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts))[runs]]
+
+    # the first against all joins most groups of near copies
+    runs = mixed(np.flatnonzero(ends - starts > 1))
+    n = (ends - starts)[runs] - 1
+    for part in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+        if len(part):
+            first = np.repeat(starts[runs[part]], n[part])
+            step = np.arange(len(first)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            label = join(owner[first], owner[first + 1 + step], label)
+    runs = mixed(runs[n > 1])
+    few = runs[(ends - starts)[runs] <= FEW]
+    for k in range(1, FEW - 1):
+        # pairs k apart, without the first one, which met all
+        few = mixed(few[(ends - starts)[few] > k + 1])
+        if not len(few):
+            break
+        n = (ends - starts)[few] - 1 - k
+        for part in np.split(np.arange(len(few)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+            low = np.repeat(starts[few[part]] + 1, n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            label = join(owner[low], owner[low + k], label)
+    many = runs[(ends - starts)[runs] > FEW]
+    for r in many[np.argsort(starts[many] - ends[many], kind="stable")].tolist():
+        members = np.sort(owner[starts[r] : ends[r]])
+        crowd = xxhash.xxh3_128_digest(members.tobytes())
+        if crowd in seen:
+            continue
+        seen.add(crowd)
+        at = label[members]
+        value, count = np.unique(at, return_counts=True)
+        # two of the largest component need no test, so each other one meets all
+        rest = members[at != value[count.argmax()]]
+        step = max(1, PAIRS // len(members))
+        for k in range(0, len(rest), step):
+            own = rest[k : k + step]
+            label = join(np.repeat(own, len(members)), np.tile(members, len(own)), label)
+    return label
+
+
 def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the links make up a forest over the components ``label``."""
     root: dict[int, int] = {}
