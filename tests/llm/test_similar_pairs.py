@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -36,3 +38,52 @@ def test_crowd_at_one_key():
     for variant, owner in simhash._meetings(fps, np.full(3000, 2), 0, 1 << 22, 32):
         label = simhash._linked(wide[order], variant, owner, label, 52, tree, seen)
     assert len(set(label.tolist())) == 1500 and {frozenset((order[label == k] // 2).tolist()) for k in set(label.tolist())} == {frozenset([k]) for k in range(1500)}
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [16 << 20, 3000])
+def test_links_are_verified_by_shingles(spark, block, monkeypatch):
+    """Texts at 0.7 stay apart though their fingerprints are close, repeated passages count
+    once, and texts of one set of shingles are one."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(300)]
+        other = list(base)
+        # a changed tail of n words takes n shingles of 296
+        n = 52 if k % 2 else 30
+        other[-n:] = [word() for _ in range(n)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    passage = " ".join(word() for _ in range(40))
+    rows += [(100 + k, " ".join([passage] * 10 + [word() for _ in range(120)])) for k in range(2)]
+    cycle = [word() for _ in range(6)]
+    rows += [(110, " ".join(cycle * 4)), (111, " ".join(cycle * 9))]
+    texts = dict(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(40):
+        same = jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8
+        assert same == (k % 2 == 0) and got[2 * k] == 2 * k and got[2 * k + 1] == (2 * k if same else 2 * k + 1)
+    assert (got[100], got[101], got[110], got[111]) == (100, 101, 110, 110)
+
+
+def test_near_sets_by_hand():
+    rng = np.random.default_rng(6)
+    for blocks in range(30):
+        base = rng.integers(0, 1 << 60, (3, 60))
+        sets = []
+        for k in range(40):
+            own = base[k % 3].copy()
+            n = int(rng.integers(0, 14))
+            own[rng.choice(60, n, False)] = rng.integers(0, 1 << 60, n)
+            sets.append(np.unique(own[: int(rng.integers(50, 61))]).astype(np.uint64))
+        pairs = [(a, b) for a in range(40) for b in range(a) if 5 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - c)]
+        links = simhash._near(sets)
+        assert {(max(a, b), min(a, b)) for a, b in links.tolist()} <= set(pairs)
+        label = [simhash._forest(40, *(np.array(x, np.int64).reshape(-1, 2).T)) for x in (pairs, links)]
+        assert (label[0] == label[1]).all()

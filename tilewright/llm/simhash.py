@@ -238,27 +238,34 @@ def components(rows: DataFrame, radius: int = 4) -> DataFrame:
 # -- similarity by wide fingerprints ------------------------------------------------
 
 #: Bits of a wide fingerprint, bits of each part of it that is a key of its own, and how
-#: many bits of all may differ: 0.8 of common five-word shingles change 38 on average,
-#: with a deviation of 6; unrelated texts differ in 128 with a deviation of 8.
-WIDE, KEY, APART = 256, 32, 52
+#: many bits of all may differ in a candidate: 0.8 of common five-word shingles change 38 on
+#: average (48 in texts of a few words), with a deviation of 6; unrelated texts differ in 128
+#: with a deviation of 8.
+WIDE, KEY, APART = 256, 32, 72
+#: The least similarity, as a fraction; bytes of shingles that a task verifies at a time.
+SIMILAR, BLOCK_BYTES = (4, 5), 16 << 20
 #: Fingerprints at a variant that are compared by shifts, and pairs that are compared at a time.
 FEW, PAIRS = 64, 1 << 20
 
 
-def _wide(data: bytes, width: int) -> np.ndarray:
-    """A fingerprint of WIDE bits, as four numbers."""
+def _shingles(data: bytes, width: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, sorted; a text of fewer words is one shingle."""
     words = data.lower().split()
     n = len(words)
     if not n:
-        return np.zeros(WIDE // 64, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     k = min(width, n)
     starts = np.concatenate([[0], ends[: n - k]]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def _widened(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of WIDE bits of distinct shingles, as four numbers."""
     out = np.zeros(WIDE // 64, np.uint64)
-    for w in range(WIDE // 64):
+    for w in range(WIDE // 64 if len(hashes) else 0):
         own = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
         own = (own ^ (own >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         own ^= own >> np.uint64(32)
@@ -270,6 +277,51 @@ def _wide(data: bytes, width: int) -> np.ndarray:
     return out
 
 
+def _wide(data: bytes, width: int) -> np.ndarray:
+    """A fingerprint of WIDE bits, as four numbers."""
+    return _widened(_shingles(data, width))
+
+
+def _near(sets: list[np.ndarray], least: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """Links (a, b) between sets of a Jaccard similarity of ``least`` or more, enough to give
+    the components of all such pairs. A set is compared with those outside its component
+    that hold one of its rarest elements: sets as similar as that share some of them."""
+    top, bottom = least
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    ends = np.cumsum(often)
+    outside, marked = np.ones(len(sets), bool), np.zeros(len(often), bool)
+    n_outside, out = len(sets), []
+    for seed in range(len(sets)):
+        if not outside[seed]:
+            continue
+        outside[seed] = False
+        n_outside -= 1
+        ahead = [seed]
+        while ahead and n_outside:
+            x = ahead.pop()
+            own = place[starts[x] : starts[x] + sizes[x]]
+            rare = own[np.argsort(often[own], kind="stable")[: len(own) + 1 - -(-top * len(own) // bottom)]].tolist()
+            if not rare:
+                continue
+            others = np.unique(np.concatenate([holders[ends[r] - often[r] : ends[r]] for r in rare]))
+            others = others[outside[others]]
+            others = others[(bottom * np.minimum(sizes[others], len(own)) >= top * np.maximum(sizes[others], len(own)))]
+            if not len(others):
+                continue
+            marked[own] = True
+            common = np.array([np.count_nonzero(marked[place[starts[y] : starts[y] + sizes[y]]]) for y in others.tolist()])
+            marked[own] = False
+            hit = others[bottom * common >= top * (len(own) + sizes[others] - common)]
+            outside[hit] = False
+            n_outside -= len(hit)
+            ahead += hit.tolist()
+            out.append(np.column_stack([np.full(len(hit), x), hit]))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def _nodes(wide: np.ndarray) -> np.ndarray:
     """One long for each wide fingerprint."""
     h = np.zeros(len(wide), np.uint64)
@@ -280,23 +332,28 @@ def _nodes(wide: np.ndarray) -> np.ndarray:
 
 
 def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts that have about 0.8 or more
-    of their ``width``-word shingles in common.
+    """(doc_id, component_id) of every row: groups of texts that have 0.8 or more of their
+    distinct ``width``-word shingles in common, by a chain of such pairs.
 
     One 64-bit fingerprint within four bits only finds texts that are nearly equal. So
     each text has a fingerprint of 256 bits, cut into eight keys of 32; each key is ball
     hashed with radius four (at 0.8, a pair meets in one of the eight with 0.99), and
-    whatever meets is verified by all 256 bits. Equal fingerprints are merged before."""
+    whatever meets and is within ``apart`` of all bits is a candidate. Every component of
+    candidates is verified by the shingles themselves, as 64-bit hashes: they are made
+    again, only for texts that have a candidate. Equal sets of shingles are merged before."""
     half, bits = 2, KEY
 
     def made(batches):
         for whole in batches:
             for batch in pieces_of(whole):
-                wide = np.array([_wide(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, WIDE // 64)
+                sets = [_shingles(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                wide = np.array([_widened(x) for x in sets]).reshape(-1, WIDE // 64)
                 data = pa.array([w.tobytes() for w in wide], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_nodes(wide)), data], ["doc_id", "node", "wide"])
+                nodes = pa.array([_name(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), nodes, pa.array([len(x) for x in sets], pa.int64()), pa.array(_nodes(wide)), data], ["doc_id", "text_key", "node", "n", "fp", "wide"])
 
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, node long, wide binary"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = stored(texts.mapInArrow(made, "doc_id long, text_key long, node long, n long, fp long, wide binary"))
     fps = stored(rows.select("wide").distinct())
     n = fps.count()
     lead = int(min(16, max(2, np.ceil(np.log2(max(1, n * int(_variants(bits, np.array(half))) / (4 * BUCKET)))))))
@@ -332,7 +389,62 @@ def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     n_parts = int(max(docs.sparkSession.sparkContext.defaultParallelism * 4, (WIDE // bits << lead) // 2))
     sent = fps.mapInArrow(spread, "bucket long, data binary").repartition(n_parts, "bucket")
     edges = sent.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
-    return _named(rows.select("doc_id", "node"), "node", connected_components(edges)).select("doc_id", "component_id")
+    links = _verified(texts, rows, connected_components(edges), width)
+    return _named(rows.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
+
+
+def _name(hashes: np.ndarray) -> int:
+    """One long for a set of shingles."""
+    name = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)
+    return name - (1 << 64) if name >> 63 else name
+
+
+def _verified(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """(a, b): links between nodes in one component of candidates whose shingles are similar,
+    enough to give all components. Small components share tasks; one of over BLOCK_BYTES
+    is cut into blocks, and each two blocks are a task."""
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("text_key").alias("text_key"), F.first("n").alias("n"))
+    nodes = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", "text_key", "n", F.coalesce("root", "fp").alias("root")))
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.sum(8 * F.col("n")).alias("bytes")).where("nodes > 1")
+    parts = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    asked = stored(nodes.join(sizes.select("root", F.greatest(parts, F.lit(1)).alias("parts")), "root").select("text_key", "node", "n", "root", "parts"))
+    total = asked.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(8 * F.col("n")), F.lit(0)).alias("bytes")).first()
+    tasks = int(max(rows.sparkSession.sparkContext.defaultParallelism * 4, -(-total.bytes // BLOCK_BYTES)))
+    asked = asked.drop("n")
+    found = texts.select("text_key", "text").join(F.broadcast(asked) if total.rows <= 1_000_000 else asked, "text_key")
+    once = found.groupBy("text_key", "node", "root", "parts").agg(F.first("text").alias("text"))
+
+    def sets(batches):
+        for whole in batches:
+            for batch in pieces_of(whole):
+                for text, node, root, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("node", "root", "parts")), strict=True):
+                    data, own = _shingles(text, width).tobytes(), node % n
+                    places = [(min(own, k), max(own, k)) for k in range(n) if k != own] or [(-1, -1)]
+                    for i, j in places:
+                        yield root % tasks if n == 1 else root, i, j, root, node, data
+
+    def sent(batches):
+        names, types = ["task", "i", "j", "root", "node", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        held, size = [], 0
+        for row in sets(batches):
+            held.append(row)
+            size += len(row[-1]) + 64
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    def verify(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in got.groupby("root", sort=False):
+            names = own["node"].to_numpy()
+            out.append(names[_near([np.frombuffer(d, np.uint64) for d in own["data"]])])
+        links = np.concatenate(out)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    moved = once.mapInArrow(sent, "task long, i int, j int, root long, node long, data binary").repartition(tasks, "task", "i", "j")
+    return moved.groupBy("task", "i", "j").applyInPandas(verify, "a long, b long")
 
 
 def _linked(wide: np.ndarray, variant: np.ndarray, owner: np.ndarray, label: np.ndarray, apart: int, tree: list, seen: set) -> np.ndarray:
