@@ -31,12 +31,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles): that
-    with the smallest id. Rows with a null id stay."""
-    groups = simhash.similar(docs, width=5)
-    lost = stored(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
+    """One row of each group of near copies (0.8 of their distinct five-word shingles): that
+    with the smallest id, and of several texts with that id the one of the smallest hash. A
+    null id comes after all others. Of rows with that id and text any one stays."""
+    lost = simhash.surplus(docs, width=5).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("once").alias("__once"))
     lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (simhash.text_key() == F.col("__key"))
+    kept = docs.join(lost, same, "left_anti")
+    if lost.where("__once").isEmpty():
+        return kept
+    repeated = docs.join(lost.where("__once"), same, "left_semi").withColumn("__key", simhash.text_key())
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "__key"]).drop("__key"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

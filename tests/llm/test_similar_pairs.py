@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tilewright.llm import simhash
 
 
@@ -87,3 +88,14 @@ def test_near_sets_by_hand():
         assert {(max(a, b), min(a, b)) for a, b in links.tolist()} <= set(pairs)
         label = [simhash._forest(40, *(np.array(x, np.int64).reshape(-1, 2).T)) for x in (pairs, links)]
         assert (label[0] == label[1]).all()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids repeated over different texts, repeated rows and null ids."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
+    rows = [(5, a), (9, a), (5, b), (2, b), (7, c), (7, c), (None, c), (None, d), (None, d), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (2, b), (7, c), (None, d), (4, "")], key=str)

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import connected_components, pieces_of, stored
@@ -332,7 +332,32 @@ def _nodes(wide: np.ndarray) -> np.ndarray:
 
 
 def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts that have 0.8 or more of their
+    """(doc_id, component_id) of every row; see _grouped()."""
+    rows, roots = _grouped(docs, width, apart)
+    return _named(rows.select("doc_id", "node"), "node", roots).select("doc_id", "component_id")
+
+
+def surplus(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
+    """(doc_id, text_key, once): the rows that are not the one of their group, by their id
+    and the hash of their text; ``once`` are rows of which one must stay, as the group's
+    row is there several times. The one has the smallest id, then the smallest text_key;
+    a null id comes last. Components are found by the text, so an id may have several texts."""
+    rows, roots = _grouped(docs, width, apart)
+    keys = rows.groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    named = stored(keys.join(roots, "node", "left").select("doc_id", "text_key", "times", F.coalesce("root", "node").alias("root")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    named = named.select("root", "times", rank.alias("rank"))
+    best = named.groupBy("root").agg(F.min("rank").alias("best"))
+    judged = named.join(best, "root").select("rank.doc_id", "rank.text_key", F.col("rank").eqNullSafe(F.col("best")).alias("once"), "times")
+    return stored(judged.where("not once or times > 1").select("doc_id", "text_key", "once"))
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _grouped(docs: DataFrame, width: int, apart: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node) of every row and (node, root) of grouped nodes: groups of texts that have 0.8 or more of their
     distinct ``width``-word shingles in common, by a chain of such pairs.
 
     One 64-bit fingerprint within four bits only finds texts that are nearly equal. So
@@ -352,7 +377,7 @@ def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
                 nodes = pa.array([_name(x) for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), nodes, pa.array([len(x) for x in sets], pa.int64()), pa.array(_nodes(wide)), data], ["doc_id", "text_key", "node", "n", "fp", "wide"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key())
     rows = stored(texts.mapInArrow(made, "doc_id long, text_key long, node long, n long, fp long, wide binary"))
     fps = stored(rows.select("wide").distinct())
     n = fps.count()
@@ -390,7 +415,7 @@ def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     sent = fps.mapInArrow(spread, "bucket long, data binary").repartition(n_parts, "bucket")
     edges = sent.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
     links = _verified(texts, rows, connected_components(edges), width)
-    return _named(rows.select("doc_id", "node"), "node", connected_components(links)).select("doc_id", "component_id")
+    return rows.select("doc_id", "text_key", "node"), connected_components(links)
 
 
 def _name(hashes: np.ndarray) -> int:
