@@ -105,6 +105,50 @@ def test_line_runs_settle(spark):
     assert {r.key for r in runs.repeated().collect()} == {"x", "y"} and {r.key for r in runs.settled.collect()} == {"x", "y"}
 
 
+def kept_lines(rows, least_docs, least_length):
+    """(id, lines, dropped, text) of (id, text) rows, by Python alone."""
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    often = {}
+    for _, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            often[k] = often.get(k, 0) + 1
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < least_length or often[key(x)] < least_docs]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least_length,bound", [(1, 200_000), (3, 1), (0, 0)])
+def test_lines_by_hand(spark, least_length, bound, monkeypatch):
+    """Letters beyond ASCII, null and repeated ids, equal rows, long texts, any column names."""
+    monkeypatch.setattr(linededup, "MOST_BROADCAST", bound)
+    rng = random.Random(5)
+    pool = ["É", "é", "ÉA", "Éa", "éa", "A", "a", " A\t", "", " ", "ãb", "ÃB", "日本", "日本X", "日本x", "ß", "É\x85", "É\xa0", "İ", "i̇", "Ab\r", "aB", "ab", "×÷", "×", "😀Q", "😀q"]
+    rows = [(rng.choice([None, 1, 2, 3, *range(10, 60)]), rng.choice([None, "", "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))])) for _ in range(80)]
+    rows += [(7, "x\nab"), (7, "x\nab"), (8, "\n".join(rng.choice(pool) for _ in range(30_000)))]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, __kept int, places int, id int, tie int, row int")
+    out = linededup.without_repeated_lines(docs, least_length=least_length, counts=("n", "m"))
+    assert out.columns == [*docs.columns, "n", "m"]
+    assert sorted(((r.doc_id, r.n, r.m, r.text) for r in out.collect()), key=str) == kept_lines(rows, 10, least_length)
+    assert linededup.without_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_runs_are_joined_without_exchange(spark):
+    """Merging runs and leaving out settled keys moves and sorts only the new batch."""
+    runs = linededup.LineRuns(2)
+    for k in range(4):
+        runs.add(spark.range(k, 50 + k).select((F.col("id") % 40).cast("string").alias("key")))
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    with linededup._in_order(spark):
+        one, two = runs.written(spark.range(30).selectExpr("cast(id as string) key").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))), runs.levels[2][0]
+        plan = runs.merged(one, two)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = {r.key: r.n_docs for r in runs.repeated().collect()}
+    assert len(got) == 40 and min(got.values()) >= 2
+
+
 # -- SimHash ------------------------------------------------------------------------
 
 

@@ -17,23 +17,28 @@ _FOLDER: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; a temporary one is set only where the setting is missing."""
+    session. Without the setting a temporary one is made in local mode, and a cluster
+    gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "own" not in _FOLDER:
             _FOLDER["own"] = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         folder = _FOLDER["own"]
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, sorted_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, sorted_by: list[str] | None = None, parts: list[str] | None = None) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends here, and
-    the loss of an executor does not lose it."""
+    the loss of an executor does not lose it. ``parts``: columns whose values get folders
+    of their own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if sorted_by:
         df = df.sortWithinPartitions(*sorted_by)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -51,6 +56,14 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def folded_bytes(text: Column) -> Column:
+    """A text with A-Z lower-cased, fit for comparing and splitting at ASCII characters only:
+    one that is not ASCII stands as its UTF-8 bytes, read as ISO-8859-1. lower() changes
+    the first bytes of some characters there, each to another one of the same length, so
+    texts are equal if and only if they were equal but for A-Z. Faster than translate()."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.lower(F.decode(text.cast("binary"), "ISO-8859-1")))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 when divided by 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,112 +1,179 @@
 """Line dedup with levelled sorted runs, by DataFrame operations only.
 
-A run is a table (key, n_docs), sorted by key: how many documents of a batch hold each
-line. Runs of level 0 come from batches; when a level has ``fanout`` runs they are
-compacted into one run of the next level. A key that a compacted run finds in enough
-documents is settled: each new batch is merge-anti-joined with the settled keys and adds
-only what is left as its own run. In the end all runs together name the keys to drop.
+Texts are read once to make their line keys, which are stored; everything after reads
+those. A run is a table (key, n_docs), bucketed and sorted by key: how many documents of
+a batch hold each line. Runs of level 0 come from batches; when a level has two runs they
+are merged into one run of the next level. A run's key is settled where it counts enough
+documents: each new batch is merge-anti-joined with the settled keys of all runs and adds
+only what is left as its own run. Runs have one bucketing and order, so joining and
+merging them needs no exchange and no sort of theirs. In the end all runs together name
+the keys to drop.
 
 A line's key is the MD5 of the line, white space stripped at both ends and A-Z
 lower-cased. Only keys are shuffled for counting, once for each document that holds
-them, and summed before the shuffle; whole texts are shuffled once, to meet the keys
-that their lines lose.
+them, and summed before the shuffle. Of the keys to drop the most frequent are broadcast,
+a bounded number; the others are joined by a shuffle, and none of them is frequent. Whole
+texts are shuffled once, to meet the places of the lines that they lose.
 
 Defined results: a null or empty text is one empty line; empty lines are never dropped
 (they are below the least length); rows that repeat an id count as documents of their
-own, and all lose the same keys; a null id is an id of its own. Other columns stay as
-they are and may have any name.
+own, equal ones too, and all lose the same keys; a null id is an id of its own. A key in
+exactly ``least_docs`` documents is dropped (no ties are broken). Texts of any length are
+read whole, and a text costs time in proportion to its length. An empty table gives an
+empty one. Other columns stay as they are and may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WHITE, drop_stored, lower_ascii, stored, union_all
+from tilewright.llm.common import WHITE, drop_stored, folded_bytes, shared_folder, stored, union_all
 
-#: Up to so many dropped keys are broadcast; beyond, they are joined by a shuffle.
+#: At most about so many keys to drop are broadcast; the others are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(WHITE)))
-
-
-def _hashed(line: Column, least_length: int) -> Column:
-    key = line_key(line)
-    return F.when(F.length(key) >= least_length, F.md5(key.cast("binary")))
+def line_keys(text: Column, least_length: int = 1) -> Column:
+    """The keys of a text's lines, in order; null for lines below the least length."""
 
+    def key(line: Column) -> Column:
+        own = F.btrim(line, F.lit(WHITE))
+        if least_length <= 1:
+            return F.when(own != "", F.md5(own)) if least_length else F.md5(own)
+        # a code point has one byte that is not a continuation
+        return F.when(F.length(F.regexp_replace(own, "[\x80-\xBF]", "")) >= least_length, F.md5(own))
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.transform(F.split(folded_bytes(F.coalesce(text, F.lit(""))), "\n"), key)
 
 
-def _keys(text: Column, least_length: int) -> Column:
-    """The distinct keys of a text's lines."""
-    return F.array_distinct(F.array_compact(F.transform(_lines(text), lambda x: _hashed(x, least_length))))
+@contextmanager
+def _in_order(spark: SparkSession):
+    """Scans of runs say that their buckets are sorted (each is one file)."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class LineRuns:
     """Levelled runs of line keys with the number of documents that hold them."""
 
-    def __init__(self, least_docs: int, fanout: int = 2):
-        self.least_docs, self.fanout = least_docs, fanout
+    def __init__(self, least_docs: int):
+        self.least_docs = least_docs
         self.levels: list[list[DataFrame]] = []
-        self.settled: DataFrame | None = None
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def _settled_in(self, run: DataFrame) -> DataFrame:
+        return run.where(F.col("n_docs") >= self.least_docs).select("key")
+
+    @property
+    def settled(self) -> DataFrame:
+        """(key) of all lines that some run finds in enough documents."""
+        return union_all([self._settled_in(r) for r in self.runs]).distinct()
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: rows (key), one for each document that holds it."""
-        run = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
-        if self.settled is not None:
-            run = run.join(self.settled.hint("merge"), "key", "left_anti")
-        self._put(0, stored(run, ["key"]))
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            old = self.levels[level]
-            self.levels[level] = []
-            merged = stored(self._sum(old), ["key"])
-            for r in old:
-                drop_stored(r)
-            self.settled = self.counts_of([r for rs in self.levels for r in rs] + [merged]).where(F.col("n_docs") >= self.least_docs).select("key")
-            self._put(level + 1, merged)
+        new = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
+        with _in_order(keys.sparkSession):
+            for run in self.runs:
+                new = new.join(self._settled_in(run).hint("merge"), "key", "left_anti")
+            new, level = self.written(new), 0
+            while level < len(self.levels) and self.levels[level]:
+                old = self.levels[level].pop()
+                merged = self.written(self.merged(old, new))
+                self._dropped(old)
+                self._dropped(new)
+                new, level = merged, level + 1
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append(new)
+
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.hint("merge").join(b.withColumnRenamed("n_docs", "more"), "key", "full")
+        return both.select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
 
     @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        return union_all(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+    def written(run: DataFrame) -> DataFrame:
+        """A run, as a table of the shared folder in as many sorted buckets as a shuffle has partitions."""
+        spark = run.sparkSession
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        run.write.format("parquet").bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        out = spark.table(name)
+        out.stored_at, out.stored_as = path, name
+        return out
 
-    def counts_of(self, runs: list[DataFrame]) -> DataFrame:
-        return runs[0] if len(runs) == 1 else self._sum(runs)
+    @staticmethod
+    def _dropped(run: DataFrame) -> None:
+        run.sparkSession.sql(f"DROP TABLE {run.stored_as}")
+        drop_stored(run)
 
     def repeated(self) -> DataFrame:
-        """(key) of every line found in at least ``least_docs`` documents."""
-        return self.counts_of([r for rs in self.levels for r in rs]).where(F.col("n_docs") >= self.least_docs).select("key")
+        """(key, n_docs) of every line found in at least ``least_docs`` documents."""
+        runs = self.runs
+        counts = runs[0] if len(runs) == 1 else union_all(runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        return counts.where(F.col("n_docs") >= self.least_docs)
+
+    def drop(self) -> None:
+        for r in self.runs:
+            self._dropped(r)
+        self.levels = []
+
+
+def _lost(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, tie, places) of the documents that lose lines."""
+    placed = lines.select("id", "tie", F.posexplode("keys").alias("place", "key")).where("key is not null")
+    n, total = repeated.agg(F.count(F.lit(1)), F.sum("n_docs")).first()
+    if n <= MOST_BROADCAST:
+        hit = placed.join(F.broadcast(repeated.select("key")), "key", "left_semi")
+    else:
+        # no more than MOST_BROADCAST keys have so large a share of all that are counted
+        often = F.col("n_docs") * MOST_BROADCAST > total
+        rest = placed.join(F.broadcast(repeated.where(often).select("key")), "key", "left_anti")
+        hit = placed.join(F.broadcast(repeated.where(often).select("key")), "key", "left_semi")
+        hit = hit.unionByName(rest.join(repeated.where(~often).select("key").hint("merge"), "key", "left_semi"))
+    return hit.groupBy("id", "tie").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def without_repeated_lines(docs: DataFrame, least_docs: int = 10, least_length: int = 1, n_batches: int = 4, counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with each text less the lines whose key is found in ``least_docs`` documents
     or more. ``counts``: names of two more columns, for the lines before and those dropped."""
+    tie = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    batch = F.pmod(F.xxhash64(docs["doc_id"], tie), F.lit(n_batches)).cast("int")
+    lines = stored(docs.select(docs["doc_id"].alias("id"), tie.alias("tie"), line_keys(docs["text"], least_length).alias("keys"), batch.alias("batch")), parts=["batch"])
     runs = LineRuns(least_docs)
     for k in range(n_batches):
-        batch = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == k)
-        runs.add(batch.select(F.explode(_keys(F.col("text"), least_length)).alias("key")))
+        own = lines.where(F.col("batch") == k)
+        runs.add(own.select(F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")))
     repeated = stored(runs.repeated())
-    small = repeated.count() <= MOST_BROADCAST
-    lost = docs.select(F.col("doc_id").alias("__id"), F.explode(_keys(F.col("text"), least_length)).alias("key"))
-    lost = lost.join(F.broadcast(repeated) if small else repeated, "key", "left_semi")
-    lost = lost.groupBy("__id").agg(F.collect_set("key").alias("__lost"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__id"]), "left")
-    text, gone = docs["text"], F.col("__lost")
-    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(gone, _hashed(x, least_length)), F.lit(False)))
-    joined = joined.withColumn("__kept", F.when(gone.isNotNull(), kept))
-    clean = F.when(F.col("__kept").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join("__kept", "\n"))
-    out = [clean.alias(c) if c == "text" else docs[c] for c in docs.columns]
+    runs.drop()
+    lost = stored(_lost(lines, repeated))
+    drop_stored(lines)
+    drop_stored(repeated)
+
+    # columns of docs stay inside one struct, so that none has the name of one of these
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc"), tie.alias("text_key"))
+    joined = held.join(lost, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("tie")), "left")
+    joined = joined.select("row", "places", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n").alias("lines"))
+    between = F.expr("""flatten(transform(sequence(0, size(places)), j -> slice(lines,
+        if(j = 0, 0, places[j - 1] + 1) + 1,
+        if(j = size(places), size(lines), places[j]) - if(j = 0, 0, places[j - 1] + 1))))""")
+    text = F.when(F.col("places").isNull(), F.coalesce(F.col("row.text"), F.lit(""))).otherwise(F.array_join(between, "\n"))
+    out = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
     if counts:
-        n = F.size(_lines(text)).cast("long")
-        out += [n.alias(counts[0]), F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n - F.size("__kept")).cast("long").alias(counts[1])]
+        out += [F.size("lines").cast("long").alias(counts[0]), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*out)
 
 
