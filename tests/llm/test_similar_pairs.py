@@ -94,8 +94,56 @@ def test_one_row_of_each_group_stays(spark):
     """Ids repeated over different texts, repeated rows and null ids."""
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
     rows = [(5, a), (9, a), (5, b), (2, b), (7, c), (7, c), (None, c), (None, d), (None, d), (4, None), (4, "")]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t, "en", 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, __id int, __key int, once int")
     kept = corpus_pipeline.simhash_stage(spark, docs, "")
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
     assert got == sorted([(5, a), (2, b), (7, c), (None, d), (4, "")], key=str)
+
+
+def groups_by_hand(texts):
+    """The component of each text by all pairs of Jaccard 0.8 or more, and those pairs."""
+    sets = [set(zip(*(w[k:] for k in range(5)))) if len(w := (t or "").lower().encode().split()) >= 5 else {tuple(w)} - {()} for t in texts]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    common = {}
+    for own in holders.values():
+        for b in range(len(own)):
+            for a in range(b):
+                common[own[a], own[b]] = common.get((own[a], own[b]), 0) + 1
+    pairs = [(a, b) for (a, b), c in common.items() if 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c)]
+    empty = [k for k, s in enumerate(sets) if not s]
+    pairs += list(zip(empty, empty[1:], strict=False))
+    return simhash._forest(len(texts), *np.array(pairs, np.int64).reshape(-1, 2).T), pairs
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 150])
+def test_groups_of_documents(spark, hot, monkeypatch):
+    """All documents of a table against all pairs: no false group, and 0.9 of the pairs at least.
+    With a low bound every bucket is cut into blocks."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    label, pairs = groups_by_hand([t for _, t in rows])
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    name = [got[i] for i, _ in rows]
+    assert len(pairs) > 50 and sum(name[a] == name[b] for a, b in pairs) >= 0.9 * len(pairs)
+    for k, (i, _) in enumerate(rows):
+        assert label[k] == label[[x for x, _ in rows].index(got[i])]
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    """Fingerprints around one, more buckets to split than any fixed number."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    fps = np.unique(np.array([base[k % 3] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for k in range(300)], np.uint64))
+    monkeypatch.setattr(simhash, "BUCKET", 1 << 9)
+    links = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 4).collect()
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    a, b = np.nonzero(np.triu(near, 1))
+    want = simhash._forest(len(fps), a, b)
+    got = simhash._forest(len(fps), np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert (want == got).all() and len(set(want.tolist())) < len(fps)

@@ -98,17 +98,23 @@ def _addressed(fps: np.ndarray, half: int, lead: int, deeper: dict[int, int], bi
     bucket, left = heads.ravel(), np.tile(half - cost, len(fps))
     if not deeper:
         return [(bucket, lead, index, left)]
-    hot = np.isin(bucket, np.array(list(deeper), np.uint64))
-    out = [(bucket[~hot], lead, index[~hot], left[~hot])]
-    for b, more in deeper.items():
-        own = bucket == np.uint64(b)
+    keys = np.array(sorted(deeper), np.uint64)
+    more = np.array([deeper[int(k)] for k in keys], np.int64)
+    at = np.minimum(np.searchsorted(keys, bucket), len(keys) - 1)
+    extra = np.where(keys[at] == bucket, more[at], 0)
+    out = []
+    for bits_more in np.unique(extra).tolist():
+        if not bits_more:
+            own = extra == 0
+            out.append((bucket[own], lead, index[own], left[own]))
+            continue
         for k in range(half + 1):
-            at = own & (left == k)
-            if at.any():
-                masks, cost = _masks(more, k)
-                next_bits = (fps[index[at]] >> np.uint64(bits - lead - more)) & np.uint64((1 << more) - 1)
-                sub = (next_bits[:, None] ^ masks[None, :]) | (np.uint64(b) << np.uint64(more))
-                out.append((sub.ravel(), lead + more, np.repeat(index[at], len(masks)), np.tile(k - cost, int(at.sum()))))
+            own = np.flatnonzero((extra == bits_more) & (left == k))
+            if len(own):
+                masks, cost = _masks(bits_more, k)
+                next_bits = (fps[index[own]] >> np.uint64(bits - lead - bits_more)) & np.uint64((1 << bits_more) - 1)
+                sub = (next_bits[:, None] ^ masks[None, :]) | (bucket[own] << np.uint64(bits_more))[:, None]
+                out.append((sub.ravel(), lead + bits_more, np.repeat(index[own], len(masks)), np.tile(k - cost, len(own))))
     return out
 
 
@@ -191,7 +197,8 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "w"])
 
-    hot = fps.mapInArrow(weigh, "bucket long, w double").groupBy("bucket").agg(F.sum("w").alias("w")).where(F.col("w") > 3 * BUCKET).orderBy(F.desc("w")).limit(4096).collect()
+    hot = fps.mapInArrow(weigh, "bucket long, w double").groupBy("bucket").agg(F.sum("w").alias("w")).where(F.col("w") > 3 * BUCKET).collect()
+    # a third of all buckets at most, so under 1 << lead numbers reach the driver
     deeper = {r.bucket: int(min(12, np.ceil(np.log2(r.w / BUCKET)))) for r in hot}
 
     def spread(batches):
@@ -220,19 +227,32 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
     return rows.groupBy("bucket", "depth").applyInPandas(meet, "a long, b long").distinct()
 
 
-def _named(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
-    """rows with component_id, the smallest doc_id of the group of their key."""
-    keys = rows.groupBy(key).agg(F.min("doc_id").alias("least"))
-    named = keys.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select(key, "root").join(least, "root").select(key, "component_id"), key)
+def _components(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """keys (key, least) with ``first``, the smallest ``least`` of the component of their
+    key by edges (a, b); ``least`` is a struct, and keys without edges are their own
+    component. Nodes are named by ``least`` and their key, so a component's root is what
+    is looked for, and nothing is grouped or joined by component."""
+    node = F.struct("least", "key").alias("node")
+    nodes = keys.select("key", node)
+    ends = edges.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("from")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("to")), "b")
+    roots = connected_components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")))
+    roots = roots.select(F.col("node.key").alias("key"), F.col("root.least").alias("first"))
+    return keys.join(roots, "key", "left").select("key", "least", F.coalesce("first", "least").alias("first"))
+
+
+def _named(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """rows with component_id, the smallest doc_id of the group of their key; edges link keys."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
+    keys = stored(rows.groupBy(F.col(key).alias("key")).agg(F.min(rank).alias("least")))
+    named = _components(keys, edges).select(F.col("key").alias(key), F.col("first.id").alias("component_id"))
+    return rows.join(named, key)
 
 
 def components(rows: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for rows (doc_id, fp)."""
     rows = stored(rows.select("doc_id", "fp"))
     fps = stored(rows.select("fp").distinct())
-    return _named(rows, "fp", connected_components(links(fps, radius))).select("doc_id", "fp", "component_id")
+    return _named(rows, "fp", links(fps, radius)).select("doc_id", "fp", "component_id")
 
 
 # -- similarity by wide fingerprints ------------------------------------------------
@@ -244,7 +264,9 @@ def components(rows: DataFrame, radius: int = 4) -> DataFrame:
 WIDE, KEY, APART = 256, 32, 72
 #: The least similarity, as a fraction; bytes of shingles that a task verifies at a time.
 SIMILAR, BLOCK_BYTES = (4, 5), 16 << 20
-#: Fingerprints at a variant that are compared by shifts, and pairs that are compared at a time.
+#: Fingerprints of a bucket over which it is cut into blocks, each two of which are a task.
+HOT = 1 << 18
+#: Fingerprints at a variant that are compared together, and pairs that are compared at a time.
 FEW, PAIRS = 64, 1 << 20
 
 
@@ -333,8 +355,8 @@ def _nodes(wide: np.ndarray) -> np.ndarray:
 
 def similar(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     """(doc_id, component_id) of every row; see _grouped()."""
-    rows, roots = _grouped(docs, width, apart)
-    return _named(rows.select("doc_id", "node"), "node", roots).select("doc_id", "component_id")
+    rows, links = _grouped(docs, width, apart)
+    return _named(rows.select("doc_id", "node"), "node", links).select("doc_id", "component_id")
 
 
 def surplus(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
@@ -342,13 +364,12 @@ def surplus(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     and the hash of their text; ``once`` are rows of which one must stay, as the group's
     row is there several times. The one has the smallest id, then the smallest text_key;
     a null id comes last. Components are found by the text, so an id may have several texts."""
-    rows, roots = _grouped(docs, width, apart)
-    keys = rows.groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
-    named = stored(keys.join(roots, "node", "left").select("doc_id", "text_key", "times", F.coalesce("root", "node").alias("root")))
+    rows, links = _grouped(docs, width, apart)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    named = named.select("root", "times", rank.alias("rank"))
-    best = named.groupBy("root").agg(F.min("rank").alias("best"))
-    judged = named.join(best, "root").select("rank.doc_id", "rank.text_key", F.col("rank").eqNullSafe(F.col("best")).alias("once"), "times")
+    ranked = stored(rows.groupBy("node", rank.alias("rank")).agg(F.count(F.lit(1)).alias("times")))
+    keys = stored(ranked.groupBy(F.col("node").alias("key")).agg(F.min("rank").alias("least")))
+    named = _components(keys, links).select(F.col("key").alias("node"), "first")
+    judged = ranked.join(named, "node").select("rank.doc_id", "rank.text_key", (F.col("rank") == F.col("first")).alias("once"), "times")
     return stored(judged.where("not once or times > 1").select("doc_id", "text_key", "once"))
 
 
@@ -357,8 +378,9 @@ def text_key() -> Column:
 
 
 def _grouped(docs: DataFrame, width: int, apart: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, node) of every row and (node, root) of grouped nodes: groups of texts that have 0.8 or more of their
-    distinct ``width``-word shingles in common, by a chain of such pairs.
+    """(doc_id, text_key, node) of every row and (a, b), links between nodes that give all
+    groups of texts that have 0.8 or more of their distinct ``width``-word shingles in
+    common, by a chain of such pairs.
 
     One 64-bit fingerprint within four bits only finds texts that are nearly equal. So
     each text has a fingerprint of 256 bits, cut into eight keys of 32; each key is ball
@@ -387,17 +409,44 @@ def _grouped(docs: DataFrame, width: int, apart: int) -> tuple[DataFrame, DataFr
         for t in range(WIDE // bits):
             yield t, (wide[:, t * bits // 64] >> np.uint64(t * bits % 64)) & np.uint64((1 << bits) - 1)
 
+    def in_buckets(wide: np.ndarray):
+        """(bucket of a key, indices of the fingerprints that send it a variant)."""
+        for t, key in keys(wide):
+            bucket, _, index, _ = _addressed(key, half, lead, {}, bits)[0]
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange((1 << lead) + 1).astype(np.uint64))
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                yield t << lead | b, index[order[ends[b] : ends[b + 1]]]
+
+    def wides(batch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+
+    def weigh(batches):
+        total = np.zeros(WIDE // bits << lead, np.int64)
+        for batch in batches:
+            for b, own in in_buckets(wides(batch)):
+                total[b] += len(own)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "n"])
+
+    blocks: dict[int, int] = {}
+    if n > HOT:
+        weights = fps.mapInArrow(weigh, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        blocks = {r.bucket: -(-r.n // HOT) for r in weights.where(F.col("n") > HOT).collect()}
+
     def spread(batches):
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
-            for t, key in keys(wide):
-                bucket, _, index, _ = _addressed(key, half, lead, {}, bits)[0]
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange((1 << lead) + 1).astype(np.uint64))
-                for b in np.flatnonzero(np.diff(ends)).tolist():
-                    for at in range(int(ends[b]), int(ends[b + 1]), 20_000):
-                        own = index[order[at : min(at + 20_000, int(ends[b + 1]))]]
-                        yield pa.RecordBatch.from_arrays([pa.array([t << lead | b], pa.int64()), pa.array([wide[own].tobytes()], pa.binary())], ["bucket", "data"])
+            wide = wides(batch)
+            names = _nodes(wide).view(np.uint64)
+            for b, own in in_buckets(wide):
+                n_blocks = blocks.get(b, 1)
+                part = (names[own] % np.uint64(n_blocks)).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    mine = own[part == k]
+                    for other in [x for x in range(n_blocks) if x != k] or [k]:
+                        for at in range(0, len(mine), 20_000):
+                            data = wide[mine[at : at + 20_000]].tobytes()
+                            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([min(k, other)], pa.int32()), pa.array([max(k, other)], pa.int32()), pa.array([data], pa.binary())], ["bucket", "i", "j", "data"])
 
     def meet(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         t, bucket = key[0] >> lead, np.uint64(key[0] & ((1 << lead) - 1))
@@ -412,10 +461,9 @@ def _grouped(docs: DataFrame, width: int, apart: int) -> tuple[DataFrame, DataFr
         return pd.DataFrame({"a": names[tree[:, 0]], "b": names[tree[:, 1]]})
 
     n_parts = int(max(docs.sparkSession.sparkContext.defaultParallelism * 4, (WIDE // bits << lead) // 2))
-    sent = fps.mapInArrow(spread, "bucket long, data binary").repartition(n_parts, "bucket")
-    edges = sent.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
-    links = _verified(texts, rows, connected_components(edges), width)
-    return rows.select("doc_id", "text_key", "node"), connected_components(links)
+    sent = fps.mapInArrow(spread, "bucket long, i int, j int, data binary").repartition(n_parts, "bucket", "i", "j")
+    edges = sent.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    return rows.select("doc_id", "text_key", "node"), _verified(texts, rows, connected_components(edges), width)
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -491,43 +539,45 @@ def _linked(wide: np.ndarray, variant: np.ndarray, owner: np.ndarray, label: np.
         return _forest(len(wide), np.concatenate([a, np.arange(len(wide))]), np.concatenate([b, label]))
 
     starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
-    ends = np.append(starts[1:], len(variant))
+    size = np.diff(np.append(starts, len(variant)))
+
+    def mixed(owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of owners, one variant after another, those at variants that have several components."""
+        if not len(size):
+            return owner, size
+        at, starts = label[owner], np.cumsum(size) - size
+        some = np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts)
+        return owner[np.repeat(some, size)], size[some]
 
-    def mixed(runs: np.ndarray) -> np.ndarray:
-        """Those of the variants that have several components."""
-        at = label[owner]
-        return runs[(np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts))[runs]]
+    def cut(n: np.ndarray):
+        """Slices of rows of n pairs each, with about PAIRS pairs."""
+        return (p for p in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1) if len(p))
 
+    owner, size = mixed(owner[np.repeat(size > 1, size)], size[size > 1])
     # the first against all joins most groups of near copies
-    runs = mixed(np.flatnonzero(ends - starts > 1))
-    n = (ends - starts)[runs] - 1
-    for part in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
-        if len(part):
-            first = np.repeat(starts[runs[part]], n[part])
-            step = np.arange(len(first)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-            label = join(owner[first], owner[first + 1 + step], label)
-    runs = mixed(runs[n > 1])
-    few = runs[(ends - starts)[runs] <= FEW]
-    for k in range(1, FEW - 1):
-        # pairs k apart, without the first one, which met all
-        few = mixed(few[(ends - starts)[few] > k + 1])
-        if not len(few):
-            break
-        n = (ends - starts)[few] - 1 - k
-        for part in np.split(np.arange(len(few)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
-            low = np.repeat(starts[few[part]] + 1, n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-            label = join(owner[low], owner[low + k], label)
-    many = runs[(ends - starts)[runs] > FEW]
-    for r in many[np.argsort(starts[many] - ends[many], kind="stable")].tolist():
-        members = np.sort(owner[starts[r] : ends[r]])
+    starts = np.cumsum(size) - size
+    for part in cut(size):
+        n, first = size[part] - 1, starts[part]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        label = join(owner[np.repeat(first, n)], owner[np.repeat(first, n) + 1 + step], label)
+    owner, size = mixed(owner[np.repeat(size > 2, size)], size[size > 2])
+    starts = np.cumsum(size) - size
+    for m in np.unique(size[size <= FEW]).tolist():
+        # all pairs but those with the first, which met all
+        i, j = np.triu_indices(m - 1, 1)
+        own = starts[size == m][:, None] + 1
+        for part in cut(np.full(len(own), len(i))):
+            label = join(owner[own[part] + i].ravel(), owner[own[part] + j].ravel(), label)
+    many = np.flatnonzero(size > FEW)
+    for r in many[np.argsort(-size[many], kind="stable")].tolist():
+        members = np.sort(owner[starts[r] : starts[r] + size[r]])
         crowd = xxhash.xxh3_128_digest(members.tobytes())
         if crowd in seen:
             continue
         seen.add(crowd)
-        at = label[members]
-        value, count = np.unique(at, return_counts=True)
+        value, count = np.unique(label[members], return_counts=True)
         # two of the largest component need no test, so each other one meets all
-        rest = members[at != value[count.argmax()]]
+        rest = members[label[members] != value[count.argmax()]]
         step = max(1, PAIRS // len(members))
         for k in range(0, len(rest), step):
             own = rest[k : k + step]
