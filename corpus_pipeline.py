@@ -34,14 +34,15 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group of near copies (0.8 of their distinct five-word shingles): that
     with the smallest id, and of several texts with that id the one of the smallest hash. A
     null id comes after all others. Of rows with that id and text any one stays."""
-    lost = simhash.surplus(docs, width=5).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("once").alias("__once"))
+    lost = simhash.surplus(docs, width=5).select(F.col("doc_id").alias("id"), "text_key", "once")
     lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (simhash.text_key() == F.col("__key"))
-    kept = docs.join(lost, same, "left_anti")
-    if lost.where("__once").isEmpty():
-        return kept
-    repeated = docs.join(lost.where("__once"), same, "left_semi").withColumn("__key", simhash.text_key())
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    # columns of docs stay inside one struct, so that none has the name of one of these
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), simhash.text_key().alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key"))
+    kept = held.join(lost, same, "left_anti")
+    if not lost.where("once").isEmpty():
+        kept = kept.unionByName(held.join(lost.where("once"), same, "left_semi").dropDuplicates(["own_id", "own_key"]))
+    return kept.select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
