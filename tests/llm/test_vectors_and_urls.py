@@ -60,6 +60,50 @@ def test_graph_recall():
     assert got <= truth | {(b, a) for a, b in truth} and len(got & truth) >= 0.995 * len(truth)
 
 
+def test_graph_answers_at_every_size():
+    """Every node can be reached, each vector asks the graph, and dense groups are found whole."""
+    rng = np.random.default_rng(3)
+    for n, scale in ((1, 1.0), (2, 0.01), (30, 0.02), (700, 0.02), (700, 3.0)):
+        v = embeddings._unit(rng.normal(size=(1, 16)) + rng.normal(scale=scale, size=(n, 16)))
+        g = embeddings.Graph.build(v)
+        found = g.linked(v, 0.93)
+        assert g.asked >= n and g.audit[0] == int((v @ v.T >= 0.93 + embeddings.SLACK / 2).sum())
+        assert (found | ~(v @ v.T >= 0.93 + embeddings.SLACK / 2)).all()
+        reached, ahead = {0}, [0]
+        while ahead:
+            fresh = {int(x) for x in g.layers[0][ahead.pop()] if x >= 0} - reached
+            reached |= fresh
+            ahead += fresh
+        assert len(reached) == n
+
+
+def test_large_label(spark):
+    """A label of over 2,000 vectors, by graphs of one and of many shards."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 12))
+    rows = [(k, [float(x) for x in (centres[k % 60] + rng.normal(scale=0.3 if k % 2 else 0.12, size=12)).astype(np.float32)], 1) for k in range(2300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    v = np.array([e for _, e, _ in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.93
+    label = simhash._forest(len(rows), *np.nonzero(near))
+    for shard in (8192, 120):
+        got = {r.vec_id: r for r in embeddings.near_duplicates(df, shard=shard).collect()}
+        missed = sum(int(near[k].sum()) - 1 - got[k].n_links for k in range(2300))
+        assert all(got[k].n_links <= near[k].sum() - 1 for k in range(2300)) and missed <= 0.001 * near.sum()
+        assert sum(got[k].component_id != label[k] for k in range(2300)) <= 2
+    found = embeddings.recall(df, shard=120).first()
+    assert found.n_asked >= 2300 and found.n_found >= 0.9 * found.n_audited
+
+
+def test_repeated_ids_and_doubles(spark):
+    got = embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 0.01], 5), (3, [0.01, 1.0], 5)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    rows = [(1, [1e300, 1e300], "a"), (2, [1.0, 1.0], "a"), (3, [1e-310, 1e-310], "a"), (4, [1e300, -1e300], "a"), (5, [1e300, 1e300], "b"), (6, [0.0, 2.0], "a"), (7, [-0.0, 2.0], "a")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(80)] + [(7, 7), (40, 39), (-3, 2)]

@@ -2,17 +2,25 @@
 
 Only vectors with equal labels are compared. Equal vectors are merged first, and counted
 with their number. Each label's vectors are dealt to shards of bounded size and a graph
-is built for each shard; every vector queries every shard of its label. A query whose
-beam is full of links is asked again with a beam twice as wide, and an audit compares
-some queries of each shard with brute force and widens all beams until it misses no
-link. What is found is verified by cosine in double precision. A task returns counts
-and a spanning forest of its links, never all pairs; the forests' components are the
-groups.
+is built for each shard; every vector queries every shard of its label, in batches that
+travel to the graphs. A query's beam finds its first links, and from these the graph is
+walked on for as long as nodes are links. An audit compares some queries of each batch
+(those with an id divisible by 100, and 64 more) with brute force, and beams of a batch
+that misses a link are widened until it misses none. What is found is verified by cosine
+in double precision. A task returns counts and a spanning forest of its links, never all
+pairs; the forests' components are the groups.
+
+A label's work grows with the number of its shards times that of its vectors, as every
+shard is queried. A graph is sent once for each ``TOGETHER`` shards that query it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, vectors with a null label and rows with a null vec_id link with nothing;
-vectors of different lengths are not compared; repeated rows are equal vectors, each
-with its links to the others. Only vec_id, embedding and label are read.
+vectors of different lengths are not compared; vectors keep the type of their column,
+and double ones of any finite size are compared. Repeated rows are equal vectors, each
+with its links to the others; a vec_id with several vectors has a row for each, with
+its own links, and ``kept`` goes by the id. A cosine of exactly ``least`` is a link. An
+empty table gives an empty one. Only vec_id, embedding and label are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,18 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import connected_components, stored
-from tilewright.llm.simhash import _forest
+from tilewright.llm.common import drop_stored, stored
+from tilewright.llm.simhash import _components, _forest
 
-#: Vectors of a shard at most, and links of a node on the lowest layer.
-SHARD, LINKS = 8192, 16
+#: Vectors of a shard at most, bytes of its vectors at most, links of a node on the lowest
+#: layer, entries of a first beam, and query shards that meet one copy of a graph.
+SHARD, SHARD_BYTES, LINKS, BEAM, TOGETHER = 8192, 8 << 20, 16, 24, 16
+#: Cosines in single precision may be off by so much.
+SLACK = 1e-4
 
 
 class Graph:
-    """A navigable small-world graph over unit vectors."""
+    """A navigable small-world graph over unit vectors. The lowest layer has two more links
+    for each node, its first child and next sibling in the tree of the nodes' nearest
+    earlier ones, so that every node can be reached from the first."""
 
     def __init__(self, vectors: np.ndarray, layers: list[np.ndarray], entry: int):
         self.v, self.layers, self.entry = vectors, layers, entry
+        self.asked, self.audit = 0, None
 
     @classmethod
     def build(cls, vectors: np.ndarray, links: int = LINKS, beam: int = 24, seed: int = 11) -> Graph:
@@ -41,6 +55,7 @@ class Graph:
         level = np.minimum(4, (-np.log(np.random.default_rng(seed).random(n)) / np.log(links)).astype(int))
         level[0] = level.max()
         g = cls(vectors, [np.full((n, links if k else 2 * links), -1, np.int32) for k in range(level.max() + 1)], 0)
+        tree = np.full((n, 2), -1, np.int32)
         done = 1
         while done < n:
             new = np.arange(done, min(n, done + min(192, max(8, done))))
@@ -52,7 +67,10 @@ class Graph:
                 own = np.flatnonzero(here)
                 if len(own):
                     g._connect(new[own], found[own], sims[own], k)
+            for x, parent in zip(new.tolist(), found[:, 0].tolist(), strict=True):
+                tree[x, 1], tree[parent, 0] = tree[parent, 0], x
             done = int(new[-1]) + 1
+        g.layers[0] = np.concatenate([g.layers[0], tree], 1)
         return g
 
     def _search(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int, at_once: int = 8):
@@ -159,125 +177,209 @@ class Graph:
         links[nodes, : pruned.shape[1]] = pruned
 
     def query(self, q: np.ndarray, beam: int):
+        """Beams (ids, similarities), best first."""
+        self.asked += len(q)
         entry = np.full((len(q), 1), self.entry, np.int64)
         for k in range(len(self.layers) - 1, 0, -1):
             entry = self._search(q, entry, 4, k)[0]
-        return self._search(q, entry, beam, 0)
-
-    def above(self, q: np.ndarray, least: float, beam: int, block: int = 384):
-        """(query, node) pairs of similarity ``least`` or more; beams full of such are
-        widened until they are not. Where a beam would hold a sixteenth of the shard, it
-        would see most of it anyway, and the query is answered by all of the shard."""
-        n, out = len(self.v), []
-        todo = [(np.arange(len(q))[k : k + block], beam) for k in range(0, len(q), block)]
-        while todo:
-            own, width = todo.pop()
-            if 16 * width > n:
-                r, c = np.nonzero(q[own] @ self.v.T >= least)
-                out.append((own[r], c))
-                continue
-            ids, sims = self.query(q[own], width)
-            hit = (sims >= least) & (ids >= 0)
-            full = hit[:, -1]
-            r, c = np.nonzero(hit & ~full[:, None])
-            out.append((own[r], ids[r, c]))
-            again = own[full]
-            size = max(16, block * beam // (4 * width))
-            todo += [(again[k : k + size], 4 * width) for k in range(0, len(again), size)]
+        return self._search(q, np.concatenate([entry, np.zeros((len(q), 1), np.int64)], 1), beam, 0)
+
+    def _walk(self, q: np.ndarray, row: np.ndarray, node: np.ndarray, least: float):
+        """(rows of q, nodes) of similarity ``least`` or more that can be reached from those
+        given by way of such."""
+        n, links = len(self.v), self.layers[0]
+        seen = np.zeros(len(q) * n, bool)
+        seen[row * n + node] = True
+        out, ahead = [], [(row, node)]
+        while ahead:
+            row, node = ahead.pop()
+            out.append((row, node))
+            for at in range(0, len(row), 1 << 15):
+                near = links[node[at : at + (1 << 15)]]
+                place = (row[at : at + (1 << 15), None] * n + near)[near >= 0]
+                place = np.unique(place[~seen[place]])
+                seen[place] = True
+                r, c = place // n, place % n
+                hit = np.einsum("kd,kd->k", self.v[c], q[r]) >= least
+                if hit.any():
+                    ahead.append((r[hit], c[hit]))
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
-    def audited(self, q: np.ndarray, least: float, beam: int = 24, share: int = 4):
-        """above() with beams widened until an audit against brute force misses no link."""
-        sample = np.unique(np.linspace(0, len(q) - 1, max(64, len(q) // share)).astype(int))
-        truth = self.v @ q[sample].T >= least
-        want = {(int(s), int(x)) for k, s in enumerate(sample) for x in np.flatnonzero(truth[:, k])}
+    def above(self, q: np.ndarray, least: float, beam: int = BEAM, block: int = 256):
+        """Parts (queries, nodes): the pairs of similarity ``least`` or more that are found."""
+        block = max(16, min(block, block * BEAM * 8 // beam))
+        for at in range(0, len(q), block):
+            part = q[at : at + block]
+            ids, sims = self.query(part, min(beam, len(self.v)))
+            row, col = np.nonzero((sims >= least) & (ids >= 0))
+            row, node = self._walk(part, row, ids[row, col], least)
+            yield row + at, node
+
+    def linked(self, q: np.ndarray, least: float, beam: int = BEAM, sample: np.ndarray | None = None, exact=None) -> np.ndarray:
+        """A table, queries by nodes: whether a pair is a link. ``sample`` queries are
+        compared with all nodes; beams are widened until these miss no link (a beam of all
+        nodes sees them all). ``exact``: a test of pairs that follows. self.audit: links of
+        the sample, those found by the first beams, and the last beam."""
+        sample = np.arange(len(q)) if sample is None else sample
+        truth = np.concatenate([q[sample[k : k + 512]] @ self.v.T >= least + SLACK / 2 for k in range(0, len(sample), 512)] or [np.zeros((0, len(self.v)), bool)])
+        found, first = np.zeros((len(q), len(self.v)), bool), None
         while True:
-            a, b = self.above(q, least, beam)
-            own = np.isin(a, sample)
-            got = set(zip(a[own].tolist(), b[own].tolist(), strict=True))
-            if 16 * beam > len(self.v) or want <= got:
-                return a, b
+            for row, node in self.above(q, least, beam):
+                found[row, node] = True
+            missed = int((truth & ~found[sample]).sum())
+            first = missed if first is None else first
+            if not missed or beam >= len(self.v):
+                break
             beam *= 2
+        self.audit = (int(truth.sum()), int(truth.sum()) - first, beam)
+        if exact is not None:
+            for at in range(0, len(q), 64):
+                row, node = np.nonzero(found[at : at + 64])
+                for k in range(0, len(row), 1 << 16):
+                    r, c = row[k : k + (1 << 16)] + at, node[k : k + (1 << 16)]
+                    found[r, c] = exact(r, c)
+        return found
+
+    def audited(self, q: np.ndarray, least: float, beam: int = BEAM):
+        """(queries, nodes) of linked(), audited by every fourth query."""
+        return np.nonzero(self.linked(q, least, beam, np.arange(0, len(q), 4)))
+
+
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Vectors, each times a power of two that brings its largest component near 1."""
+    top = np.frexp(np.abs(raw).max(1))[1]
+    # in two steps, as the power itself may be beyond the range
+    return np.ldexp(np.ldexp(raw, -(top[:, None] // 2)), -(top[:, None] - top[:, None] // 2))
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep", kind="stable")
-    raw = np.array(rows["embedding"].tolist(), np.float64)
-    g = Graph.build(_unit(raw))
-    return pd.DataFrame([{"label": key[0], "dim": key[1], "shard": key[2], "reps": rows["rep"].to_numpy(np.int64).tobytes(), "times": rows["times"].to_numpy(np.int64).tobytes(), "raw": raw.astype(np.float32).tobytes(), "layers": [x.tobytes() for x in g.layers], "wide": [x.shape[1] for x in g.layers]}])
-
-
-def _side(row, s: str):
-    reps = np.frombuffer(row[f"reps{s}"], np.int64)
-    raw = np.frombuffer(row[f"raw{s}"], np.float32).reshape(len(reps), -1).astype(np.float64)
-    layers = [np.frombuffer(x, np.int32).reshape(len(reps), w) for x, w in zip(row[f"layers{s}"], row[f"wide{s}"], strict=True)]
-    return reps, np.frombuffer(row[f"times{s}"], np.int64), raw, Graph(_unit(raw), layers, 0)
-
-
-def _linked(least: float):
-    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        row = rows.iloc[0]
-        reps, times, raw, graph = _side(row, "1")
-        near = least - 1e-4
-        if row["shard1"] == row["shard2"]:
-            a, b = graph.audited(graph.v, near)
-            reps2, times2, raw2, off = reps, times, raw, 0
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = a[a != b], b[a != b]
-        else:
-            reps2, times2, raw2, graph2 = _side(row, "2")
-            off = len(reps)
-            a, b = graph2.audited(graph.v, near)
-            d, c = graph.audited(graph2.v, near)
-            a, b = np.concatenate([a, c]), np.concatenate([b, d])
-        pair = np.unique(a * len(reps2) + b)
-        a, b = pair // len(reps2), pair % len(reps2)
-        n1, n2 = np.linalg.norm(raw, axis=1), np.linalg.norm(raw2, axis=1)
-        keep = [np.zeros(0, bool)]
-        for k in range(0, len(a), 200_000):
-            x, y = a[k : k + 200_000], b[k : k + 200_000]
-            keep.append(np.einsum("ad,ad->a", raw[x], raw2[y]) / (n1[x] * n2[y]) >= least)
-        keep = np.concatenate(keep)
-        a, b = a[keep], b[keep]
-        ids = reps if not off else np.concatenate([reps, reps2])
-        n = np.bincount(a, weights=times2[b], minlength=len(ids)) + np.bincount(b + off, weights=times[a], minlength=len(ids))
-        root = _forest(len(ids), a, b + off)
+def _pack(kind: str):
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", kind="stable")
+        raw = np.array(rows["embedding"].tolist(), np.float64)
+        g = Graph.build(_unit(_scaled(raw)))
+        out = {c: rows[c].to_numpy(np.int64).tobytes() for c in ("rep", "times", "least")}
+        return pd.DataFrame([{"label": key[0], "dim": key[1], "shard": key[2], "n_shards": rows["n_shards"].iloc[0], **out, "raw": raw.astype(kind).tobytes(), "layers": [x.tobytes() for x in g.layers], "wide": [x.shape[1] for x in g.layers]}])
+
+    return pack
+
+
+class _Shard:
+    """The vectors of a packed row, and its graph if it has one."""
+
+    def __init__(self, row, kind: str):
+        self.reps, self.times, self.least = (np.frombuffer(row[c], np.int64) for c in ("rep", "times", "least"))
+        self.raw = _scaled(np.frombuffer(row["raw"], kind).reshape(len(self.reps), -1).astype(np.float64))
+        self.norm, self.unit = np.linalg.norm(self.raw, axis=1), _unit(self.raw)
+        if row["kind"] == 0:
+            self.graph = Graph(self.unit, [np.frombuffer(x, np.int32).reshape(len(self.reps), w) for x, w in zip(row["layers"], row["wide"], strict=True)], 0)
+
+    def sample(self) -> np.ndarray:
+        """Ids divisible by 100, and 64 more."""
+        n = len(self.reps)
+        return np.unique(np.concatenate([np.flatnonzero(self.least % 100 == 0), np.linspace(0, n - 1, min(n, 64)).astype(int)]))
+
+
+def _meet(least: float, kind: str):
+    def pairs(q: _Shard, g: _Shard) -> pd.DataFrame:
+        exact = lambda a, b: np.einsum("ad,ad->a", q.raw[a], g.raw[b]) / (q.norm[a] * g.norm[b]) >= least
+        found = g.graph.linked(q.unit, least - SLACK, sample=q.sample(), exact=exact)
+        off = 0 if q is g else len(q.reps)
+        if q is g:
+            found |= found.T
+            np.fill_diagonal(found, False)
+        ids = q.reps if q is g else np.concatenate([q.reps, g.reps])
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(q.reps), 256):
+            a, b = np.nonzero(found[at : at + 256])
+            a, b = a + at, b + off
+            n[at : min(at + 256, len(q.reps))] += found[at : at + 256] @ g.times
+            if off:
+                n[off:] += found[at : at + 256].T @ q.times[at : at + 256]
+            label = _forest(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
         some = np.flatnonzero(n)
-        return pd.DataFrame({"rep": ids[some], "n": n[some].astype(np.int64), "other": ids[root[some]]})
+        true, first, beam = g.graph.audit
+        links = pd.DataFrame({"rep": ids[some], "n": n[some], "other": ids[label[some]]}, dtype="Int64")
+        return pd.concat([links, pd.DataFrame({"asked": [g.graph.asked], "true": [true], "found": [first], "beam": [beam]}, dtype="Int64")])
 
-    return pairs
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        g = _Shard(rows[rows["kind"] == 0].iloc[0], kind)
+        out = [pairs(g, g)] if key[3] == key[2] // TOGETHER else []
+        for _, row in rows[rows["kind"] == 1].iterrows():
+            out.append(pairs(_Shard(row, kind), g))
+            g.graph.asked = 0
+        return pd.concat(out)[["rep", "n", "other", "asked", "true", "found", "beam"]] if out else pd.DataFrame([], columns=["rep", "n", "other", "asked", "true", "found", "beam"])
 
+    return meet
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").alias("label"))
-    sound = F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(embedding, x -> x <> 0)")
-    v = v.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = v.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("embedding"))
+
+_FOUND = "rep long, n long, other long, asked long, true long, found long, beam long"
+
+
+def _sound(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, embedding, label, rep), where rep is null for what links with nothing, and else
+    a number of the label and vector, one for each; and the type of the components."""
+    given = dict(vectors.dtypes)["embedding"]
+    kind = "float" if given == "array<float>" else "double"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").alias("label"))
+    sound = F.expr(f"coalesce(vec_id is not null and label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < {kind}('infinity')) and exists(embedding, x -> x <> 0), false)")
+    salt = 0
+    while True:
+        named = v.withColumn("rep", F.when(sound, F.xxhash64(F.lit(salt), "label", "embedding")))
+        kinds = named.where("rep is not null").groupBy("label", "embedding").agg(F.first("rep").alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        if kinds.where("n > 1").isEmpty():
+            return named, kind
+        salt += 1
+
+
+def _found(named: DataFrame, kind: str, least: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors (rep, times, least), and what the graphs found of them."""
+    classes = named.where("rep is not null").groupBy("label", "embedding", "rep").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("embedding"))
     classes = stored(classes)
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("n_shards"))
+    most = F.greatest(F.lit(1), F.least(F.lit(shard), F.lit(SHARD_BYTES) / (8 * F.col("dim")))).cast("int")
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("n_shards"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "n_shards").cast("int"))
-    kind = dict(classes.dtypes)["label"]
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    packed = stored(dealt.repartition(4 * cores, "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(_pack, f"label {kind}, dim int, shard int, reps binary, times binary, raw binary, layers array<binary>, wide array<int>"))
-    one = packed.select("label", "dim", *(F.col(c).alias(c + "1") for c in packed.columns[2:]))
-    two = packed.select("label", "dim", *(F.col(c).alias(c + "2") for c in packed.columns[2:]))
-    met = one.join(two, ["label", "dim"]).where("shard1 <= shard2")
-    met = met.repartition(8 * cores, "label", "dim", "shard1", "shard2").groupBy("label", "dim", "shard1", "shard2")
-    links = stored(met.applyInPandas(_linked(least), "rep long, n long, other long"))
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    joined = v.join(known, F.col("sound") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    component = F.coalesce("component_id", "vec_id")
+    label = dict(classes.dtypes)["label"]
+    cores = named.sparkSession.sparkContext.defaultParallelism
+    dealt = dealt.repartition(4 * cores, "label", "dim", "shard").groupBy("label", "dim", "shard")
+    packed = stored(dealt.applyInPandas(_pack(kind), f"label {label}, dim int, shard int, n_shards int, rep binary, times binary, least binary, raw binary, layers array<binary>, wide array<int>"))
+    n_graphs = packed.count()
+    # a graph of shard g meets the shards up to g, so many together
+    graphs = packed.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("shard") / TOGETHER))).alias("part"), F.lit(0).alias("kind"))
+    asking = packed.where("shard + 1 < n_shards").withColumn("part", F.floor(F.col("shard") / TOGETHER))
+    asking = asking.select("*", F.lit(1).alias("kind"), F.explode(F.sequence(F.col("shard") + 1, F.col("n_shards") - 1)).alias("g"))
+    asking = asking.withColumn("shard", F.col("g")).withColumn("layers", F.lit(None).cast("array<binary>")).withColumn("wide", F.lit(None).cast("array<int>")).drop("g")
+    met = graphs.unionByName(asking).repartition(int(max(8 * cores, n_graphs)), "label", "dim", "shard", "part").groupBy("label", "dim", "shard", "part")
+    found = stored(met.applyInPandas(_meet(least, kind), _FOUND))
+    drop_stored(packed)
+    return classes, found
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    named, kind = _sound(vectors)
+    classes, found = _found(named, kind, least, shard)
+    counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
+    keys = stored(classes.select(F.col("rep").alias("key"), F.struct("least").alias("least")))
+    groups = _components(keys, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    groups = groups.select(F.col("key").alias("rep"), F.col("first.least").alias("component"))
+    known = classes.select("rep", "times").join(counts, "rep", "left").join(groups, "rep")
+    known = known.select("rep", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component")
+    joined = named.select("vec_id", "rep").join(known, "rep", "left")
+    component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+def recall(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
+    """One row: vectors that asked graphs; links of the audited ones, counted by brute force,
+    and how many the first beams found of them; the widest beam that was needed."""
+    found = _found(*_sound(vectors), least, shard)[1].where("asked is not null")
+    return found.agg(F.sum("asked").alias("n_asked"), F.sum("true").alias("n_audited"), F.sum("found").alias("n_found"), F.max("beam").alias("beam"))
+
+
 ORACLE_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
