@@ -287,6 +287,8 @@ def test_decontamination(spark, docs, rows, nothing):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == want and len(want) > 12
     kept = decontam.without_leaks(docs, b)
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {x[0] for x in want} and kept.columns == docs.columns
+    odd = docs.withColumn("__id", F.lit(1)).withColumn("leak", F.lit(2))
+    assert {r.doc_id for r in decontam.without_leaks(odd, b).collect()} == {r.doc_id for r in kept.collect()}
     assert decontam.contained(nothing, b).count() == 0 and decontam.contained(docs, b.limit(0)).count() == 0
 
 

@@ -1,12 +1,16 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilewright.llm import common, decontam, embeddings, linededup, quality, simhash, urlfilter
+from tests.llm.test_similar_pairs import groups_by_hand
+from tests.llm.test_text_operators import kept_lines, leaks_by_hand
+from tilewright.llm import common, embeddings, quality, simhash, urlfilter
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep long"
 
@@ -164,6 +168,66 @@ def test_mined_rules_by_hand(spark):
             assert got[k].verdict == "block"
 
 
+def url_parts(url):
+    """(host, path, rule, verdict or None) by the rules as they are stated."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = re.sub("[A-Z]", lambda m: m[0].lower(), rest[:cut]), rest[cut:]
+    path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+    best = None
+    for h, p, v in [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]:
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, v)
+    return host, path, *(best or (None, None))
+
+
+def url_tokens(url, host, path):
+    out = {f"h{k}:{x}" for k, x in enumerate(reversed([x for x in host.split(".") if x]))}
+    steps = [x for x in path.split("/") if x]
+    out |= {f"p{k}:{x}" for k, x in enumerate(steps)} | {f"p{k}#{x[0]}" for k, x in enumerate(steps) if x[0] in "0123456789"}
+    if m := re.search(r"\.([A-Za-z0-9]{1,8})$", path):
+        out.add(f"e:{m[1]}")
+    query = url.split("#")[0].split("?", 1)[1:] if url and "://" in url else []
+    return out | {f"q:{x.split('=')[0]}" for x in "".join(query).split("&") if x.split("=")[0]}
+
+
+def test_all_pages_by_hand(spark):
+    """Every page of a table: host, path and rule as stated, verdicts by trying all rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = [(r.page_id, r.url) for r in pages.collect()]
+    host, path = urlfilter.parts(F.col("url"))
+    split = pages.select(host.alias("host"), path.alias("path"), urlfilter.query_keys(F.col("url")).alias("keys"))
+    split = split.select("host", "path", urlfilter.given(F.col("host"), F.col("path"))["verdict"].alias("verdict"), urlfilter.tokens(F.col("host"), F.col("path"), F.col("keys")).alias("items"))
+    same = {}
+    rules = urlfilter.mine(split, same=same)
+    got = {r.page_id: r for r in urlfilter.judged(pages).collect()}
+    assert len(got) == len(rows)
+    for i, url in rows:
+        host, path, rule, verdict = url_parts(url)
+        if verdict is None:
+            own = {same.get(x) for x in url_tokens(url, host, path)}
+            verdict = next((v for t, v, _, _ in rules if t <= own), "allow")
+        assert tuple(got[i]) == (i, host, path, rule, verdict)
+
+
+def test_tokens_of_long_urls_and_many_rules(spark):
+    """Tokens far behind in a host, a path or a query decide, and over 5,000 rules may stay."""
+    rows = [(k, f"http://{'bad' if k % 2 else 'good'}.a.b.c.d.e{k}.org/a/b/c/d/{'x' if k % 2 else 'y'}/{k}?u=1&{'k' if k % 3 else 'j'}{k % 2}=2") for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = urlfilter.parts(F.col("url"))
+    split = df.select(host.alias("host"), path.alias("path"), F.when(F.col("page_id") % 2 == 1, "block").otherwise("allow").alias("verdict"), urlfilter.tokens(host, path, urlfilter.query_keys(F.col("url"))).alias("items"))
+    same = {}
+    rules = urlfilter.mine(split, support=0.1, same=same)
+    block = {x for t, v, c, _ in rules if v == "block" and c == 1 for x in t}
+    for t in ("h6:bad", "p4:x", "q:k1"):
+        assert same[t] in block
+    assert all(c == 1 and len(t) == 1 for t, _, c, _ in rules)
+    many = spark.createDataFrame([(f"h{k}", f"/{k % 5400}", "allow", [f"p0:{k % 5400}"]) for k in range(5400)], "host string, path string, verdict string, items array<string>")
+    assert len(urlfilter.mine(many, support=1 / 5400)) == 5400
+
+
 def test_similar_texts(spark):
     """Copies with 0.8 or more of their five-word shingles are grouped, others are not."""
     rng = random.Random(9)
@@ -184,30 +248,65 @@ def test_similar_texts(spark):
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def statistics_by_hand(text):
+    """The 21 statistics of a text, by plain counting over its UTF-8 bytes."""
+    data = (text or "").encode()
+    n, words = len(data), data.split()
+    size = [len(w) for w in words]
+    mean = sum(size) / len(size) if size else 0
+    kinds = {0: [], 1: range(65, 91), 2: range(97, 123), 3: range(48, 58), 4: [9, 11, 12, 13, 32], 5: [10], 6: list(b".,;:'\"-?()"), 7: range(128, 256)}
+    of = {c: k for k, cs in kinds.items() for c in cs}
+    share = [sum(of.get(c, 0) == k for c in data) / max(n, 1) for k in range(8)]
+    often = {w: words.count(w) for w in set(words)}
+    pairs = {(words[k], words[k + 1]) for k in range(len(words) - 1)}
+    lines = [x.strip() for x in data.split(b"\n")]
+    p = [data.count(bytes([c])) / n for c in set(data)]
+    m = len(words)
+    return [
+        math.log(1 + m), math.log(1 + n), math.log(1 + mean), math.log(1 + (math.sqrt(sum((x - mean) ** 2 for x in size) / m) if m else 0)), *map(math.sqrt, share),
+        math.log((len(often) + 1) / (m + 1)), math.log((list(often.values()).count(1) + 1) / (m + 1)), math.log((len(pairs) + 1) / (m + 1)), math.sqrt(max(often.values(), default=0) / max(m, 1)),
+        math.log(len(set(lines)) / len(lines)), math.log(1 + n / len(lines)), math.sqrt(sum(x <= 3 for x in size) / m if m else 0), -sum(x * math.log2(x) for x in p), math.log((len(zlib.compress(data, 1)) + 1) / (n + 20)),
+    ]
+
+
+def test_statistics_by_hand(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [None, "", " ", "a", "É\n\né"]
+    for t in texts:
+        if t is None or len(t) < 20_000:
+            assert quality.statistics(t) == pytest.approx(statistics_by_hand(t), abs=1e-9)
+
+
 def test_pipeline(spark, sf_dir):
-    """Every stage on its own input against what the stage must keep."""
+    """Every stage on its own input against what the stage must keep, by other means."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     before = {r.doc_id: r for r in docs.collect()}
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = {i for i, r in before.items() if model.scores(np.array([quality.statistics(r.text)]))[0] >= 0.7}
+    good = {i for i, r in before.items() if model.scores(np.array([statistics_by_hand(r.text)]))[0] >= 0.7}
     now = common.stored(corpus_pipeline.STAGES[0][1](spark, docs, sf_dir))
     assert {r.doc_id for r in now.collect()} == good and now.columns == columns
     lines = common.stored(corpus_pipeline.STAGES[1][1](spark, now, sf_dir))
-    want = {r.doc_id: r.text for r in linededup.without_repeated_lines(now).collect()}
+    want = {i: t for i, _, _, t in kept_lines([(r.doc_id, r.text) for r in now.collect()], 10, 1)}
     assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in want.items()} and lines.columns == columns
     kept = common.stored(corpus_pipeline.STAGES[2][1](spark, lines, sf_dir))
-    wide = {i: simhash._wide(t.encode(), 5) for i, t in want.items()}
-    root = {i: i for i in wide}
-    for a in wide:
-        for b in wide:
-            if b < a and int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= simhash.APART and root[a] != root[b]:
-                x, y = root[a], root[b]
-                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    assert {r.doc_id for r in kept.collect()} == set(root.values()) and kept.columns == columns
+    ids = sorted(want)
+    groups, pairs = groups_by_hand([want[i] for i in ids])
+    assert {r.doc_id for r in kept.collect()} == {ids[k] for k in groups} and len(pairs) > 5 and kept.columns == columns
     clean = common.stored(corpus_pipeline.STAGES[3][1](spark, kept, sf_dir))
-    leaks = {r.doc_id for r in decontam.contained(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    leaks = {x[0] for x in leaks_by_hand([(r.doc_id, r.text) for r in kept.collect()], items)}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in kept.collect()} - leaks and clean.columns == columns
     out = corpus_pipeline.STAGES[4][1](spark, clean, sf_dir).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in clean.collect()} and all(r.round_trip for r in out)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(tuple(r) for r in out)
+
+
+def test_stages_take_any_rows(spark, sf_dir):
+    """Null ids and texts, repeated rows, clashing names and no rows at all."""
+    rows = [(None, None), (1, ""), (1, ""), (2, "a\n" * 30), (2, None), (None, "some words of a text")]
+    docs = spark.createDataFrame([(i, t, None, "s", 3, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, id int, once int, leak int")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, sf_dir)
+            assert out.columns == docs.columns and out.count() <= frame.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).count() == frame.count()

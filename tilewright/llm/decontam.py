@@ -15,8 +15,10 @@ one shingle of all their words.
 
 Defined results: null or empty items match nothing, null or empty documents hold
 nothing; rows that repeat an id are one document (or item) with all their shingles; a
-null doc_id is an id of its own, items with a null id are left out. Other columns may
-have any name.
+null doc_id is an id of its own, items with a null id are left out. A containment of
+exactly the threshold counts (no ties are broken: every item that is contained is
+named). Texts of any length are read whole. No documents or no items give no rows, and
+leave all documents. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql.window import Window
 from tilewright.llm.common import stored
 
 WIDTH = 5
-#: Up to so many rows a side is broadcast; beyond, it is joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Up to so many rows, and bytes of text in them, a side is broadcast; beyond, it is joined
+#: by a shuffle.
+MOST_BROADCAST, MOST_BYTES = 500_000, 64 << 20
 
 
 def _words(text: Column) -> Column:
@@ -49,12 +52,15 @@ def _all(words: str, widths: list[int], made: str) -> Column:
 
 def _bounded(df: DataFrame) -> DataFrame:
     """df (a stored one), to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= MOST_BROADCAST and size <= MOST_BYTES else df
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every document and item
     with at least ``percent`` per cent of the item's distinct shingles in the document."""
+    docs = docs.select("doc_id", "text")
     words = items.where(F.col("item_id").isNotNull()).select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
     whole = words.select("item_id", F.when(F.size("words") < WIDTH, F.array(F.array_join("words", " "))).otherwise(_all("words", [WIDTH], "concat_ws(' ', {w})")).alias("s"), F.least(F.size("words"), F.lit(WIDTH)).alias("width"))
     shingles = stored(whole.select("item_id", F.explode("s").alias("s"), "width").distinct())
@@ -84,8 +90,10 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that contain no item."""
-    leaks = stored(contained(docs, items, percent).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(_bounded(leaks), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    leaks = stored(contained(docs, items, percent).select(F.col("doc_id").alias("leak")).distinct())
+    # columns of docs stay inside one struct, so that none has the name of this one
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    return held.join(_bounded(leaks), F.col("row.doc_id").eqNullSafe(F.col("leak")), "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""
