@@ -283,6 +283,18 @@ class _Shard:
         return np.unique(np.concatenate([np.flatnonzero(self.least % 100 == 0), np.linspace(0, n - 1, min(n, 64)).astype(int)]))
 
 
+def _parents(label: np.ndarray) -> np.ndarray:
+    """For each member of a component another one, by a tree of eight children each, so
+    that no member has many; the first has itself."""
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+    first = np.repeat(first, np.diff(np.append(first, len(order))))
+    place = np.arange(len(order)) - first
+    out = np.empty(len(order), np.int64)
+    out[order] = order[first + np.maximum(0, place - 1) // 8]
+    return out
+
+
 def _meet(least: float, kind: str):
     def pairs(q: _Shard, g: _Shard) -> pd.DataFrame:
         exact = lambda a, b: np.einsum("ad,ad->a", q.raw[a], g.raw[b]) / (q.norm[a] * g.norm[b]) >= least
@@ -302,7 +314,7 @@ def _meet(least: float, kind: str):
             label = _forest(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
         some = np.flatnonzero(n)
         true, first, beam = g.graph.audit
-        links = pd.DataFrame({"rep": ids[some], "n": n[some], "other": ids[label[some]]}, dtype="Int64")
+        links = pd.DataFrame({"rep": ids[some], "n": n[some], "other": ids[_parents(label)[some]]}, dtype="Int64")
         return pd.concat([links, pd.DataFrame({"asked": [g.graph.asked], "true": [true], "found": [first], "beam": [beam]}, dtype="Int64")])
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

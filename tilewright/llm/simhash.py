@@ -17,7 +17,10 @@ emitted, so no group is written out as all its pairs.
 Defined results: a null text counts as an empty one; a text without words has the
 fingerprint zero and is linked like any other; a null id is kept and never names a
 group (component_id is null where all ids of a group are null); repeated rows get equal
-results. Only the id and the text are read, so other columns may have any name.
+results. A bit that exactly half the hashes set is 0, and fingerprints of exactly
+``radius`` differing bits are linked. Texts of any length are read whole, in bounded
+parts. An empty table gives an empty one. Only the id and the text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -241,11 +244,16 @@ def _components(keys: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """rows with component_id, the smallest doc_id of the group of their key; edges link keys."""
+    """rows with component_id, the smallest doc_id of the group of their key; edges link keys.
+    Keys of over a thousandth of all rows, a thousand at most, meet them by a broadcast."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
-    keys = stored(rows.groupBy(F.col(key).alias("key")).agg(F.min(rank).alias("least")))
-    named = _components(keys, edges).select(F.col("key").alias(key), F.col("first.id").alias("component_id"))
-    return rows.join(named, key)
+    keys = stored(rows.groupBy(F.col(key).alias("key")).agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("times")))
+    total = keys.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    named = stored(_components(keys.drop("times"), edges).select("key", F.col("first.id").alias("component_id")).join(keys.select("key", "times"), "key"))
+    named = named.withColumnRenamed("key", key)
+    often = F.broadcast(named.where(F.col("times") * 1000 > total).drop("times"))
+    rest = rows.join(often.select(key), key, "left_anti").join(named.where(F.col("times") * 1000 <= total).drop("times"), key)
+    return rows.join(often, key).unionByName(rest)
 
 
 def components(rows: DataFrame, radius: int = 4) -> DataFrame:
@@ -368,8 +376,9 @@ def surplus(docs: DataFrame, width: int = 5, apart: int = APART) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     ranked = stored(rows.groupBy("node", rank.alias("rank")).agg(F.count(F.lit(1)).alias("times")))
     keys = stored(ranked.groupBy(F.col("node").alias("key")).agg(F.min("rank").alias("least")))
-    named = _components(keys, links).select(F.col("key").alias("node"), "first")
-    judged = ranked.join(named, "node").select("rank.doc_id", "rank.text_key", (F.col("rank") == F.col("first")).alias("once"), "times")
+    # each group's row is looked up by its own rank, so no node with many rows is a join key
+    first = _components(keys, links).select(F.col("first").alias("rank"), F.lit(True).alias("once")).distinct()
+    judged = ranked.join(first, "rank", "left").select("rank.doc_id", "rank.text_key", F.coalesce("once", F.lit(False)).alias("once"), "times")
     return stored(judged.where("not once or times > 1").select("doc_id", "text_key", "once"))
 
 
