@@ -141,3 +141,47 @@ def test_command_line(path, capsys):
     assert main(["json", path, "-d", "/points"]) == 0 and '"c": "RED"' in capsys.readouterr().out
     assert main(["json", path, "-H"]) == 0 and '"data":' not in capsys.readouterr().out.replace('"data": {', "")
     assert main(["json", "/nowhere"]) == 1
+
+
+def test_contiguous_rows_are_parts(spark, tmp_path, monkeypatch):
+    """A contiguous array is read in blocks of rows, and of those only the rows inside the bounds."""
+    from tilewright.container.reader import Container, Dataset
+    from tilewright.sources.arrays import Reader
+
+    monkeypatch.setattr(Dataset, "BLOCK", 800)
+    root = GroupNode()
+    root.dataset("data", T.integer(4), (100, 7), list(range(700)))
+    root.dataset("cube", T.integer(2), (5, 4, 3), list(range(60)))
+    (tmp_path / "a.h5").write_bytes(build(root))
+    path = str(tmp_path / "a.h5")
+    reader = Reader({"path": path, "partition_bytes": "1000"}, None)
+    assert len(reader.partitions()) > 1
+    reader.bounds = {0: (30, 31)}
+    assert [[x.scaled for x in p.chunks] for p in reader.partitions()] == [[(1, 0)]]
+    df = spark.read.format("tilewright").load(path)
+    assert sorted(tuple(r) for r in df.collect()) == [(k // 7, k % 7, k) for k in range(700)]
+    assert sorted(tuple(r) for r in df.where("d0 >= 27 and d0 < 60 and d1 = 3").collect()) == [(k, 3, 7 * k + 3) for k in range(27, 60)]
+    assert sorted(tuple(r) for r in spark.read.format("tilewright").option("dataset", "/cube").load(path).where("d1 > 2").collect()) == [(a, 3, b, 12 * a + 9 + b) for a in range(5) for b in range(3)]
+    d = Container.open(path).dataset(Container.open(path).resolve("/data"))
+    assert d.read_shape == (28, 7) and d.chunk_shape == (100, 7)
+
+
+def test_index_is_read_once(tmp_path):
+    """Rectangles of an array of many chunks look chunks up by their place."""
+    from tilewright.container.reader import Container
+
+    root = GroupNode()
+    root.dataset("data", T.integer(4), (20_000,), list(range(20_000)), chunk=(16,))
+    c = Container.from_bytes(build(root))
+    d = c.dataset(c.resolve("/data"))
+    read, times = d.chunks, []
+    d.chunks = lambda: times.append(1) or read()
+    for at in range(0, 20_000, 16):
+        assert d.values((at,), (16,)) == list(range(at, at + 16))
+    assert len(times) == 1
+
+
+def test_vax_floats_are_bytes():
+    """Floats of an order that nothing here computes with are given as their bytes."""
+    t = T.Type("float", 4, "vax", True, 0, 32)
+    assert T.numpy_dtype(t) is None and T.spark_type(t) == "binary" and T.decode(t, b"abcdefgh", 2) == [b"abcd", b"efgh"]

@@ -6,7 +6,7 @@ import itertools
 import math
 import struct
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from tilewright.container.bytesource import Bytes, lookup3, open_source
 from tilewright.container.types import CLASSES, Type, decode
@@ -831,6 +831,27 @@ class Dataset:
             data = self.file.read(self.layout.address, self.layout.size if self.filters else min(n, self.layout.size or n))
         return undo(data, self.pipeline)[:n] if self.filters else data[:n]
 
+    #: Bytes of the blocks of rows in which a contiguous dataset is read.
+    BLOCK = 32 << 20
+
+    @property
+    def in_rows(self) -> bool:
+        """Whether any rows can be read alone: plain contiguous data."""
+        return self.layout.kind == "contiguous" and not self.filters and self.layout.address is not None and bool(self.shape)
+
+    @property
+    def read_shape(self) -> tuple[int, ...]:
+        """The dimensions of what is read at once: a chunk, or of contiguous data a block of rows."""
+        if not self.in_rows:
+            return self.chunk_shape
+        row = max(1, math.prod(self.shape[1:]) * self.type.size)
+        return (max(1, min(self.shape[0], self.BLOCK // row)), *self.shape[1:])
+
+    @cached_property
+    def by_place(self) -> dict[tuple[int, ...], Chunk]:
+        """Stored chunks by their place; the index is read once."""
+        return {c.scaled: c for c in self.chunks()}
+
     def chunks(self) -> list[Chunk]:
         """Stored chunks inside the present extent. A compact or contiguous dataset is
         one chunk."""
@@ -1049,7 +1070,11 @@ class Dataset:
             return cube[tuple(slice(s, s + c) for s, c in zip(start, count, strict=True))].tobytes()
         blank = self.fill_bytes() if fill else bytes(size)
         out = np.frombuffer(bytearray(blank * math.prod(count)), f"V{size}").reshape(count)
-        for chunk in self.chunks():
+        places = [range(a // c, -(-(a + n) // c)) for a, n, c in zip(start, count, self.chunk_shape, strict=True)]
+        some = (self.by_place.get(p) for p in itertools.product(*places)) if math.prod(map(len, places)) < len(self.by_place) else self.by_place.values()
+        for chunk in some:
+            if chunk is None:
+                continue
             origin = [s * c for s, c in zip(chunk.scaled, self.chunk_shape, strict=True)]
             low = [max(a, o) for a, o in zip(start, origin, strict=True)]
             high = [min(a + n, o + c, d) for a, n, o, c, d in zip(start, count, origin, self.chunk_shape, self.shape, strict=True)]

@@ -98,7 +98,7 @@ def numpy_dtype(t: Type) -> np.dtype | None:
     """The NumPy type that reads elements in place; None where there is none."""
     if t.kind == "fixed" and t.size in (1, 2, 4, 8):
         return np.dtype(f"{t.order}{'i' if t.signed else 'u'}{t.size}")
-    if t.kind == "float" and t.size in (2, 4, 8):
+    if t.kind == "float" and t.order != "vax" and t.size in (2, 4, 8):
         return np.dtype(f"{t.order}f{t.size}")
     if t.kind == "enum":
         return numpy_dtype(t.base)
@@ -111,7 +111,7 @@ def spark_type(t: Type, labels: bool = False) -> str:
         return "string" if labels else spark_type(t.base)
     if t.kind == "fixed" and t.size in (1, 2, 4, 8):
         return {(1, 1): "tinyint", (2, 1): "smallint", (4, 1): "int", (8, 1): "bigint", (1, 0): "smallint", (2, 0): "int", (4, 0): "bigint", (8, 0): "decimal(20,0)"}[t.size, int(t.signed)]
-    if t.kind == "float" and t.size in (2, 4, 8):
+    if t.kind == "float" and t.order != "vax" and t.size in (2, 4, 8):
         return "double" if t.size == 8 else "float"
     if t.kind == "string" or t.kind == "vlen" and t.is_string:
         return "string"

@@ -3,6 +3,7 @@ that Spark reads will do, and a container never leaves the task that has its row
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from tilewright.container.reader import Container
 from tilewright.container.types import Type, decode, spark_type
+from tilewright.operators.render import info, to_json
 
 
 def cells_of(blobs: DataFrame, dataset: str, t: Type, rank: int, labels: bool = False) -> DataFrame:
@@ -51,3 +53,30 @@ def objects_of(blobs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(got, columns=["container", "path", "parent", "kind", "address"])
 
     return blobs.select("path", "content").mapInPandas(rows, "container string, path string, parent string, kind string, address bigint")
+
+
+def info_of(blobs: DataFrame, preview: int = 5) -> DataFrame:
+    """container, n, line: the structure of containers (path, content) as text, by lines."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                lines = list(info(Container.from_bytes(content), preview))
+                yield pd.DataFrame({"container": name, "n": range(len(lines)), "line": lines})
+
+    return blobs.select("path", "content").mapInPandas(rows, "container string, n bigint, line string")
+
+
+def json_of(blobs: DataFrame, path: str = "/", values: bool = True) -> DataFrame:
+    """container, json: a group or dataset of every container (path, content) as JSON."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            got = [json.dumps(to_json(Container.from_bytes(content), path, values), ensure_ascii=False) for content in batch["content"]]
+            yield pd.DataFrame({"container": batch["path"], "json": got})
+
+    return blobs.select("path", "content").mapInPandas(rows, "container string, json string")

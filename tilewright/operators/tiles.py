@@ -19,7 +19,7 @@ from tilewright.functions.dims import chunk_grid, chunk_of, delinearize, lineari
 def to_tiles(cells: DataFrame, shape: Sequence[int], chunk: Sequence[int], fill=0, dims: Sequence[str] | None = None, value: str = "value") -> DataFrame:
     """(chunk, values) from cells d0, d1, ..., value: the tile's elements in row-major
     order. Edge tiles are padded with the fill value; cells of the array that are not
-    given have it too. One shuffle, of the cells by chunk."""
+    given have it too. Two shuffles: of the cells by chunk and place, then of those by chunk."""
     dims = list(dims or (f"d{k}" for k in range(len(shape))))
     grid = [-(-d // c) for d, c in zip(shape, chunk, strict=True)]
     place = linearize([chunk_of(d, c) for d, c in zip(dims, chunk, strict=True)], grid)

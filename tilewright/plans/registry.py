@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from pyspark.sql.window import Window
 
 from tilewright.container import types as T
 from tilewright.functions import codecs, dims
-from tilewright.operators import render, tiles
+from tilewright.operators import blobs, render, tiles
 from tilewright.sources import arrays
 from tilewright.sources.scratch import scratch
 
+I4 = T.integer(4)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -53,7 +55,7 @@ P_SIZES = "(SELECT p_partkey // 256 AS chunk, p_partkey % 256 AS i, p_size AS v
 
 @query(f"SELECT d0, d1, value FROM {CELLS}")
 def cells_2d(spark, sf_dir):
-    return cells(spark, sf_dir)
+    return _stored_cells(spark, sf_dir)
 
 
 @query(f"SELECT d0, d1, d0 * 64 + d1 AS position FROM {CELLS}")
@@ -137,7 +139,14 @@ def tiles_roundtrip(spark, sf_dir):
 
 @query(f"SELECT chunk, 4096 + chunk * 5120 AS address, 5120::BIGINT AS stored_size FROM {GRID}")
 def implicit_addresses(spark, sf_dir):
-    return dims.chunk_grid(spark, [500, 64], [128, 10]).select("chunk", (F.col("chunk") * 5120 + 4096).alias("address"), F.lit(5120).cast("long").alias("stored_size"))
+    """Chunks of an array that was laid out early and never written: one after another."""
+
+    def make(root, rows):
+        root.dataset("data", T.floating(4), (500, 64), None, chunk=(128, 10), early=True)
+
+    c = spark.read.format("tilewright").option("view", "chunks").load(_one_container(spark.range(1), make))
+    first = Window.partitionBy("path")
+    return c.select((F.col("scaled")[0] * 7 + F.col("scaled")[1]).alias("chunk"), (F.col("address") - F.min("address").over(first) + 4096).alias("address"), "stored_size")
 
 
 _CASES = "(VALUES (0, 1, false, true), (0, 9, false, true), (0, 9, true, true), (0, 9, false, false), (1, 9, true, false), (1, 1, false, false), (2, 9, false, true))"
@@ -169,11 +178,10 @@ def unallocated_zero(spark, sf_dir):
 
 
 def _stored_bytes(spark, sf_dir, pipeline):
-    rows = tiles.encode_tiles(_p_tiles(spark, sf_dir), T.integer(4), pipeline)
-    return rows.where(F.col("chunk") < table(spark, sf_dir, "part").agg(F.floor((F.max("p_partkey") + 1) / 256)).first()[0])
+    return tiles.encode_tiles(_p_tiles(spark, sf_dir), I4, pipeline)
 
 
-FULL = f"(SELECT * FROM {P_SIZES} WHERE chunk < (SELECT (max(p_partkey) + 1) // 256 FROM part))"
+FULL = f"(SELECT f.chunk, f.i, coalesce(p.v, 0)::INT AS v FROM (SELECT chunk, unnest(range(256)) AS i FROM (SELECT DISTINCT chunk FROM {P_SIZES})) f LEFT JOIN {P_SIZES} p ON p.chunk = f.chunk AND p.i = f.i)"
 
 
 @query(f"SELECT chunk, lower(string_agg(printf('%02x', (v >> (8 * k)) & 255), '' ORDER BY k, i)) AS stored FROM {FULL}, (SELECT unnest(range(4))::INT AS k) GROUP BY chunk")
@@ -232,7 +240,7 @@ def lzf_literal(spark, sf_dir):
 @query(f"SELECT chunk, min(v) AS least, max(v) - min(v) AS span, length(ltrim(bin(max(v) - min(v)), '0')) AS bits FROM {FULL} GROUP BY chunk")
 def scaleoffset_params(spark, sf_dir):
     rows = _stored_bytes(spark, sf_dir, [(codecs.SCALEOFFSET, codecs.scaleoffset_params(256, 4, True))])
-    p = table(spark, sf_dir, "part").groupBy(dims.chunk_of("p_partkey", 256).alias("chunk")).agg((F.max("p_size") - F.min("p_size")).alias("span"))
+    p = _p_tiles(spark, sf_dir).select("chunk", (F.array_max("values") - F.array_min("values")).alias("span"))
     return rows.join(p, "chunk").select("chunk", dims.number_at("data", F.lit(6), 8).cast("int").alias("least"), "span", dims.number_at("data", F.lit(1), 4).alias("bits"))
 
 
@@ -269,8 +277,8 @@ def byte_swap(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS label FROM events")
 def enum_labels(spark, sf_dir):
-    names = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(100).collect()]
-    t = T.enum(T.integer(1), **{n: k for k, n in enumerate(names)})
+    names = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    t = T.enum(T.integer(1 if len(names) < 128 else 2 if len(names) < 1 << 15 else 4), **{n: k for k, n in enumerate(names)})
 
     def label(batches):
         for b in batches:
@@ -283,8 +291,13 @@ def enum_labels(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE p_size WHEN 1 THEN 'ONE' WHEN 2 THEN 'TWO' ELSE CAST(p_size AS VARCHAR) END AS label FROM part")
 def enum_unknown(spark, sf_dir):
-    names = F.create_map(F.lit(1), F.lit("ONE"), F.lit(2), F.lit("TWO"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.try_element_at(names, F.col("p_size")), F.col("p_size").cast("string")).alias("label"))
+    """Codes without a member are shown as numbers."""
+
+    def make(root, rows):
+        root.dataset("data", T.compound(("key", T.integer(8)), ("size", T.enum(I4, ONE=1, TWO=2))), (len(rows),), [{"key": k, "size": s} for k, s in rows.itertuples(index=False)], chunk=(700,))
+
+    path = _one_container(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make)
+    return spark.read.format("tilewright").option("labels", "true").load(path).select(F.col("value.key").alias("p_partkey"), F.col("value.size").alias("label"))
 
 
 @query("SELECT p_partkey, p_size AS size, p_retailprice AS price, p_brand AS brand FROM part")
@@ -308,20 +321,39 @@ def compound_offsets(spark, sf_dir):
 
 @query("SELECT vec_id, g.range AS part, embedding[g.range * 8 + 1 : g.range * 8 + 8] AS items FROM embeddings, range(8) g")
 def array_type(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("part"), "embedding")
-    return rows.select("vec_id", "part", F.slice("embedding", (F.col("part") * 8 + 1).cast("int"), F.lit(8)).alias("items"))
+    """Elements that are arrays of eight numbers."""
+
+    def make(root, rows):
+        raw = np.stack(rows.sort_values("vec_id")["embedding"].to_numpy()).astype("<f4").tobytes()
+        root.dataset("data", T.array(T.floating(4), 8), (len(rows), 8), None, raw=raw, chunk=(100, 3))
+
+    path = _one_container(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), make)
+    return spark.read.format("tilewright").load(path).select(F.col("d0").alias("vec_id"), F.col("d1").alias("part"), F.col("value").alias("items"))
 
 
 @query("SELECT vec_id, g.range AS k, embedding[2 * g.range + 1] AS re, embedding[2 * g.range + 2] AS im FROM embeddings, range(32) g")
 def complex_pairs(spark, sf_dir):
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(k.cast("long").alias("k"), F.get("embedding", 2 * k).alias("re"), F.get("embedding", 2 * k + 1).alias("im")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(pairs).alias("x")).select("vec_id", "x.k", "x.re", "x.im")
+    """Each two numbers as one complex element."""
+
+    def make(root, rows):
+        raw = np.stack(rows.sort_values("vec_id")["embedding"].to_numpy()).astype("<f4").tobytes()
+        root.dataset("data", T.complex_(8), (len(rows), 32), None, raw=raw, chunk=(100, 32), filters=((codecs.DEFLATE, (1,)),))
+
+    path = _one_container(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), make)
+    return spark.read.format("tilewright").load(path).select(F.col("d0").alias("vec_id"), F.col("d1").alias("k"), "value.re", "value.im")
 
 
 @query("SELECT event_id, (event_id * 977 & 255)::SMALLINT AS u8, (event_id * 977 & 65535)::INT AS u16, event_id * 9770011 & 4294967295 AS u32 FROM events")
 def unsigned_wrap(spark, sf_dir):
-    a, b = F.col("event_id") * 977, F.col("event_id") * 9770011
-    return table(spark, sf_dir, "events").select("event_id", a.bitwiseAND(255).cast("smallint").alias("u8"), a.bitwiseAND(65535).cast("int").alias("u16"), b.bitwiseAND(4294967295).alias("u32"))
+    """Unsigned members of one, two and four bytes, little- and big-endian."""
+
+    def make(root, rows):
+        t = T.compound(("id", T.integer(8)), ("u8", T.integer(1, signed=False)), ("u16", T.integer(2, signed=False, order=">")), ("u32", T.integer(4, signed=False)))
+        values = [{"id": k, "u8": k * 977 & 255, "u16": k * 977 & 65535, "u32": k * 9770011 & 0xFFFFFFFF} for k in rows["event_id"].tolist()]
+        root.dataset("data", t, (len(values),), values, chunk=(999,))
+
+    path = _one_container(table(spark, sf_dir, "events").select("event_id"), make)
+    return spark.read.format("tilewright").load(path).select(F.col("value.id").alias("event_id"), "value.u8", "value.u16", "value.u32")
 
 
 @query("SELECT p_partkey, rtrim(p_brand || '  ' || repeat(chr(0), 3), chr(0)) AS nul_trimmed, rtrim(p_brand || '  ', ' ') AS space_trimmed FROM part")
@@ -423,6 +455,15 @@ def _embedding_container(spark, sf_dir, **options) -> str:
     return f"{path}/embeddings.h5"
 
 
+def _stored_cells(spark, sf_dir) -> DataFrame:
+    return spark.read.format("tilewright").load(_embedding_container(spark, sf_dir))
+
+
+def _content(spark, path: str) -> DataFrame:
+    """(path, content) of containers."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 @query(f"SELECT d0, d1, value FROM {CELLS} WHERE d0 BETWEEN 100 AND 149 AND d1 BETWEEN 5 AND 11")
 def container_slab(spark, sf_dir):
     """The rectangle of hyperslab_2d out of a container with an implicit index; the
@@ -572,14 +613,8 @@ def container_links(spark, sf_dir):
 
 
 def _tree(spark, sf_dir) -> DataFrame:
-    """region and nation as groups: path, parent, name."""
-    r = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("/"), "r_name").alias("rp"), "r_name")
-    n = table(spark, sf_dir, "nation")
-    top = r.select(F.col("rp").alias("path"), F.lit("/").alias("parent"), F.col("r_name").alias("name"))
-    below = n.join(r, n["n_regionkey"] == r["r_regionkey"])
-    return top.union(below.select(F.concat("rp", F.lit("/"), "n_name"), F.col("rp"), F.col("n_name")))
-
-
+    """region and nation as groups of a container: path, parent, name."""
+    return spark.read.format("tilewright").option("view", "objects").load(_tree_container(spark, sf_dir)).where("parent is not null").select("path", "parent", "name")
 
 
 @query(f"SELECT parent, count(*) AS members, min(name) AS first_name FROM {TREE} GROUP BY parent")
@@ -605,8 +640,8 @@ def open_path(spark, sf_dir):
 
 @query("SELECT n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS creation, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)::BIGINT AS by_name FROM nation")
 def creation_vs_name_order(spark, sf_dir):
-    w = Window.partitionBy("n_regionkey")
-    return table(spark, sf_dir, "nation").select("n_name", F.row_number().over(w.orderBy("n_nationkey")).cast("long").alias("creation"), F.row_number().over(w.orderBy("n_name")).cast("long").alias("by_name"))
+    links = spark.read.format("tilewright").option("view", "links").load(_tree_container(spark, sf_dir)).where("parent <> '/'")
+    return links.select(F.col("name").alias("n_name"), (F.col("creation_order") + 1).alias("creation"), F.row_number().over(Window.partitionBy("parent").orderBy("name")).cast("long").alias("by_name"))
 
 
 _LINKS = "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - 1 END AS target FROM nation"
@@ -615,16 +650,38 @@ _FOLLOW = "WITH RECURSIVE l AS ({l}), f(id, here, depth) AS (SELECT id, id, 0 FR
 
 @query(_FOLLOW.format(l=_LINKS))
 def soft_links(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("tilewright_nation")
-    return spark.sql(_FOLLOW.format(l=_LINKS.replace("FROM nation", "FROM tilewright_nation")))
+    """Chains of soft links: where each leads to as the container resolves it, and its links."""
+
+    def make(root, rows):
+        for k in sorted(rows["n_nationkey"].tolist()):
+            if k % 5:
+                root.soft(f"n{k}", f"/n{k - 1}" if k % 2 else f"n{k - 1}")
+            else:
+                root.group(f"n{k}")
+
+    path = _one_container(table(spark, sf_dir, "nation").select("n_nationkey"), make)
+    links = spark.read.format("tilewright").option("view", "links").load(path).where("parent = '/'")
+    objects = spark.read.format("tilewright").option("view", "objects").load(path).select(F.col("address").alias("resolved"), F.col("path").alias("there"))
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("int")
+    links.select(number("name").alias("id"), number("target_path").alias("target")).createOrReplaceTempView("tilewright_links")
+    hops = spark.sql(_FOLLOW.format(l="SELECT id, target FROM tilewright_links")).select("id", "hops")
+    return links.join(objects, "resolved").select(number("name").alias("id"), number("there").alias("resolved")).join(hops, "id")
 
 
 @query("""SELECT '/part' AS path, 'rows' AS name, count(*)::DOUBLE AS value FROM part UNION ALL SELECT '/part', 'most_size', max(p_size) FROM part UNION ALL
 SELECT '/orders', 'rows', count(*) FROM orders UNION ALL SELECT '/orders', 'least_price', min(o_totalprice) FROM orders""")
 def attributes_view(spark, sf_dir):
-    p = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.max("p_size").cast("double").alias("most_size")).select(F.lit("/part").alias("path"), F.expr("stack(2, 'rows', rows, 'most_size', most_size) as (name, value)"))
-    o = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.min("o_totalprice").alias("least_price")).select(F.lit("/orders").alias("path"), F.expr("stack(2, 'rows', rows, 'least_price', least_price) as (name, value)"))
-    return p.unionByName(o)
+    """Attributes, those of one group in dense storage."""
+    p = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.max("p_size").cast("double").alias("most_size")).select(F.lit("part").alias("path"), F.expr("stack(2, 'rows', rows, 'most_size', most_size) as (name, value)"))
+    o = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).cast("double").alias("rows"), F.min("o_totalprice").alias("least_price")).select(F.lit("orders").alias("path"), F.expr("stack(2, 'rows', rows, 'least_price', least_price) as (name, value)"))
+
+    def make(root, rows):
+        groups = {"part": root.group("part", dense_attributes=1, ordered=True), "orders": root.group("orders")}
+        for group, name, value in rows.itertuples(index=False):
+            groups[group].attribute(name, T.floating(8), value)
+
+    path = _one_container(p.unionByName(o), make)
+    return spark.read.format("tilewright").option("view", "attributes").load(path).select("path", "name", F.col("value_json").cast("double").alias("value"))
 
 
 # -- rendering ----------------------------------------------------------------------
@@ -632,17 +689,159 @@ def attributes_view(spark, sf_dir):
 
 @query(f"SELECT d0, d1, value FROM {CELLS} ORDER BY d0, d1 LIMIT 5")
 def preview5(spark, sf_dir):
-    return cells(spark, sf_dir).orderBy("d0", "d1").limit(5)
+    """The preview line of the text of a container."""
+    lines = blobs.info_of(_content(spark, _embedding_container(spark, sf_dir)), 5).where("startswith(trim(line), '= [')")
+    values = F.from_json(F.regexp_extract("line", "= (.*)", 1), "array<float>")
+    return lines.select(F.posexplode(values).alias("p", "value")).select(F.lit(0).cast("long").alias("d0"), F.col("p").cast("long").alias("d1"), "value")
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    """(path, content) of a container with a group for each nation, its region as an attribute."""
+
+    def make(root, rows):
+        for name, region in rows.itertuples(index=False):
+            g = root.group(name)
+            g.attribute("name", T.vlen_string(), name)
+            g.attribute("region", T.integer(4), region)
+
+    return _content(spark, _one_container(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), make))
 
 
 @query("SELECT n_nationkey, printf('/%s: group, region %d', n_name, n_regionkey) AS line FROM nation")
 def info_text(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.format_string("/%s: group, region %d", "n_name", "n_regionkey").alias("line"))
+    """Lines of the text of a container, those of a group's attribute put behind it."""
+    lines = blobs.info_of(_nations(spark, sf_dir))
+    group = lines.where("line like '%: group' and line like '  /%'").select("n", F.trim("line").alias("line"))
+    region = lines.where("line like '%@region = %'").select((F.col("n") - 2).alias("n"), F.regexp_extract("line", "[0-9]+$", 0).alias("region"))
+    both = group.join(region, "n").select(F.concat("line", F.lit(", region "), "region").alias("line"), F.regexp_extract("line", "^/(.*):", 1).alias("n_name"))
+    return both.join(table(spark, sf_dir, "nation"), "n_name").select("n_nationkey", "line")
 
 
 @query("SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS json FROM nation")
 def object_json(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
+    """The attributes of a container's groups, out of its JSON."""
+    kind = "struct<children:map<string,struct<kind:string,attributes:struct<name:string,region:int>>>>"
+    tree = blobs.json_of(_nations(spark, sf_dir)).select(F.explode(F.from_json("json", kind)["children"]).alias("n_name", "own"))
+    return tree.where("own.kind = 'group'").join(table(spark, sf_dir, "nation"), "n_name").select("n_nationkey", F.to_json("own.attributes").alias("json"))
+
+
+# -- views and layouts --------------------------------------------------------------
+
+
+@query("SELECT 3 AS version, 8 AS offset_size, 8 AS length_size, false AS swmr_write_in_progress, true AS whole")
+def container_files(spark, sf_dir):
+    path = _embedding_container(spark, sf_dir)
+    f = spark.read.format("tilewright").option("view", "files").load(path).join(_content(spark, path).select(F.length("content").alias("bytes")))
+    return f.select("version", "offset_size", "length_size", "swmr_write_in_progress", (F.col("size") == F.col("bytes")).alias("whole"))
+
+
+@query("SELECT * FROM (VALUES (1, 'dataspace'), (3, 'datatype'), (5, 'fill value'), (8, 'layout'), (11, 'filters'), (12, 'attribute')) t(type, name)")
+def container_messages(spark, sf_dir):
+    """The messages of the header of a filtered dataset."""
+    path = _embedding_container(spark, sf_dir, filters=((codecs.DEFLATE, (1,)),))
+    m = spark.read.format("tilewright").option("view", "messages").load(path).where("path = '/data'")
+    names = {1: "dataspace", 3: "datatype", 5: "fill value", 8: "layout", 11: "filters", 12: "attribute"}
+    known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return m.where(F.col("type").isin(*names)).select("type", known[F.col("type")].alias("name")).distinct()
+
+
+@query(f"SELECT d0, d1, value FROM {CELLS} WHERE d0 BETWEEN 100 AND 149 AND d1 BETWEEN 5 AND 11")
+def container_contiguous(spark, sf_dir):
+    """The rectangle of hyperslab_2d out of a contiguous array, of which only rows inside are read."""
+
+    def make(root, rows):
+        raw = np.stack(rows.sort_values("vec_id")["embedding"].to_numpy()).astype("<f4").tobytes()
+        root.dataset("data", T.floating(4), (len(rows), 64), None, raw=raw)
+
+    path = _one_container(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), make)
+    return dims.hyperslab(spark.read.format("tilewright").load(path), [100, 5], [50, 7])
+
+
+@query(f"SELECT d0, d1, value FROM {CELLS}")
+def container_btree_v1(spark, sf_dir):
+    """Chunks found by a version-1 tree."""
+    return spark.read.format("tilewright").load(_embedding_container(spark, sf_dir, layout_version=3, index="b-tree v1", filters=((codecs.DEFLATE, (1,)),)))
+
+
+@query(f"SELECT d0, d1, value FROM {CELLS}")
+def container_btree_v2(spark, sf_dir):
+    """Chunks of an array without bounds in both directions, found by a version-2 tree."""
+    return spark.read.format("tilewright").load(_embedding_container(spark, sf_dir, most=(None, None)))
+
+
+@query("SELECT p_partkey AS d0, p_size AS value, (CASE WHEN p_partkey // 100 % 2 = 0 THEN 0 ELSE 2 END)::BIGINT AS mask FROM part")
+def container_masks(spark, sf_dir):
+    """Every other chunk was stored without its second filter, as its mask says."""
+    pipeline = ((codecs.SHUFFLE, (4,)), (codecs.DEFLATE, (4,)), (codecs.FLETCHER32, ()))
+
+    def make(root, rows):
+        sizes = rows.sort_values("p_partkey")["p_size"].tolist()
+        d = root.dataset("data", I4, (len(sizes),), None, chunk=(100,), filters=pipeline)
+        d.tiles = {}
+        for k in range(-(-len(sizes) // 100)):
+            raw = T.encode(I4, (sizes[100 * k : 100 * k + 100] + [0] * 100)[:100])
+            d.tiles[k,] = codecs.encode(raw, pipeline) if k % 2 == 0 else (codecs.encode(raw, (pipeline[0], pipeline[2]))[0], 2)
+
+    path = _one_container(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make)
+    masks = spark.read.format("tilewright").option("view", "chunks").load(path).select(F.col("scaled")[0].alias("chunk"), F.col("filter_mask").alias("mask"))
+    return spark.read.format("tilewright").load(path).withColumn("chunk", dims.chunk_of("d0", 100)).join(masks, "chunk").select("d0", "value", "mask")
+
+
+def _typed_container(spark, sf_dir) -> str:
+    """nation's keys with a committed type, names and regions, an empty and a scalar dataset."""
+
+    def make(root, rows):
+        rows = rows.sort_values("n_nationkey")
+        root.commit("key type", T.integer(8))
+        g = root.group("nation")
+        g.dataset("key", T.integer(8), (len(rows),), rows["n_nationkey"].tolist(), committed="key type").attribute("twice", T.integer(8), 2 * len(rows), committed="key type")
+        g.dataset("name", T.fixed_string(20, "space-pad"), (len(rows),), rows["n_name"].tolist(), compact=True)
+        root.dataset("none", T.floating(8), None)
+        root.dataset("one", T.integer(2, signed=False, order=">"), (), [len(rows)])
+
+    return _one_container(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), make)
+
+
+@query("SELECT * FROM (VALUES ('/', 'group', NULL), ('/key type', 'datatype', '/'), ('/nation', 'group', '/'), ('/nation/key', 'dataset', '/nation'), ('/nation/name', 'dataset', '/nation'), ('/none', 'dataset', '/'), ('/one', 'dataset', '/')) t(path, kind, parent)")
+def container_committed(spark, sf_dir):
+    """Objects with a committed type among them, by containers held as bytes."""
+    return blobs.objects_of(_content(spark, _typed_container(spark, sf_dir))).select("path", "kind", "parent")
+
+
+@query("SELECT * FROM (VALUES ('/nation/key', 'fixed', 8, 'true', 'contiguous'), ('/nation/name', 'string', 20, NULL, 'compact'), ('/none', 'float', 8, NULL, 'contiguous'), ('/one', 'fixed', 2, 'false', 'contiguous')) t(path, class, bytes, signed, layout)")
+def container_types(spark, sf_dir):
+    """Element types as JSON; that of a dataset with a committed type is the type itself."""
+    d = spark.read.format("tilewright").option("view", "datasets").load(_typed_container(spark, sf_dir))
+    get = lambda k: F.get_json_object("type_json", f"$.{k}")
+    return d.select("path", get("class").alias("class"), get("size").cast("int").alias("bytes"), get("signed").alias("signed"), "layout")
+
+
+@query("SELECT '/nation/key' AS path, 'twice' AS name, (2 * count(*))::BIGINT AS value FROM nation")
+def container_shared_attribute(spark, sf_dir):
+    """An attribute whose type is committed."""
+    a = spark.read.format("tilewright").option("view", "attributes").load(_typed_container(spark, sf_dir))
+    return a.select("path", "name", F.col("value_json").cast("long").alias("value"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS d0, n_name AS value FROM nation")
+def container_blobs(spark, sf_dir):
+    """Strings of fixed size out of a container that is a row of bytes."""
+    return blobs.cells_of(_content(spark, _typed_container(spark, sf_dir)), "/nation/name", T.fixed_string(20, "space-pad"), 1).select("d0", "value")
+
+
+@query("SELECT * FROM (VALUES ('/'), ('/key type'), ('/nation'), ('/nation/key'), ('/nation/name'), ('/none'), ('/one')) t(path)")
+def container_text(spark, sf_dir):
+    """The objects that the text of a container names, one line each."""
+    lines = blobs.info_of(_content(spark, _typed_container(spark, sf_dir)))
+    return lines.where("trim(line) like '/%'").select(F.regexp_extract(F.trim("line"), "^(/[^:]*): ", 1).alias("path"))
+
+
+@query("SELECT count(*)::BIGINT AS one, list(n_nationkey::BIGINT ORDER BY n_nationkey) AS keys, list(n_name ORDER BY n_nationkey) AS names FROM nation")
+def container_json(spark, sf_dir):
+    """Data out of the JSON of a container."""
+    tree = blobs.json_of(_content(spark, _typed_container(spark, sf_dir)))
+    get = lambda k, kind: F.from_json(F.get_json_object("json", k), kind)
+    return tree.select(F.element_at(get("$.children.one.data", "array<bigint>"), 1).alias("one"), get("$.children.nation.children.key.data", "array<bigint>").alias("keys"), get("$.children.nation.children.name.data", "array<string>").alias("names"))
 
 
 # -- consumers of cells -------------------------------------------------------------
@@ -650,20 +849,20 @@ def object_json(spark, sf_dir):
 
 @query(f"SELECT a.d0, a.d1, a.value - b.value AS change FROM {CELLS} a JOIN {CELLS} b ON b.d0 = a.d0 + 1 AND b.d1 = a.d1")
 def aligned_join(spark, sf_dir):
-    a = cells(spark, sf_dir)
+    a = _stored_cells(spark, sf_dir)
     b = a.select((F.col("d0") - 1).alias("d0"), "d1", F.col("value").alias("other"))
     return a.join(b, ["d0", "d1"]).select("d0", "d1", (F.col("value") - F.col("other")).alias("change"))
 
 
 @query(f"SELECT d1, count(*) AS n, max(value) AS most FROM {CELLS} WHERE d0 < 100 GROUP BY d1")
 def slab_groupby(spark, sf_dir):
-    return dims.hyperslab(cells(spark, sf_dir), [0], [100], ["d0"]).groupBy("d1").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+    return dims.hyperslab(_stored_cells(spark, sf_dir), [0], [100], ["d0"]).groupBy("d1").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
 
 
 @query(f"SELECT d0, d1, row_number() OVER (PARTITION BY d0 ORDER BY value DESC, d1)::BIGINT AS place FROM {CELLS} WHERE d0 < 50")
 def slab_window(spark, sf_dir):
     w = Window.partitionBy("d0").orderBy(F.desc("value"), "d1")
-    return dims.hyperslab(cells(spark, sf_dir), [0], [50], ["d0"]).select("d0", "d1", F.row_number().over(w).cast("long").alias("place"))
+    return dims.hyperslab(_stored_cells(spark, sf_dir), [0], [50], ["d0"]).select("d0", "d1", F.row_number().over(w).cast("long").alias("place"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -35,7 +35,7 @@ from tilewright.container.writer import GroupNode, build
 CATALOG = {
     "files": "file string, version int, offset_size int, length_size int, flags int, size bigint, root bigint, has_extension boolean, swmr_write_in_progress boolean",
     "objects": "file string, path string, parent string, name string, kind string, address bigint, atime timestamp, mtime timestamp, ctime timestamp, btime timestamp, creation_order bigint, position bigint",
-    "links": "file string, parent string, name string, kind string, target_path string, target_file string, address bigint, creation_order bigint, charset string, position bigint",
+    "links": "file string, parent string, name string, kind string, target_path string, target_file string, address bigint, creation_order bigint, charset string, position bigint, resolved bigint",
     "attributes": "file string, path string, name string, ord bigint, type_json string, shape array<bigint>, raw binary, value_json string",
     "datasets": "file string, path string, type_json string, shape array<bigint>, max_shape array<bigint>, layout string, chunk_shape array<bigint>, index_kind string, filters array<struct<id:int,name:string,flags:int,params:array<bigint>>>, fill_defined boolean, fill binary",
     "chunks": "file string, path string, scaled array<bigint>, address bigint, stored_size bigint, filter_mask bigint",
@@ -114,7 +114,7 @@ def catalog_rows(view: str, file: str) -> Iterator[tuple]:
             yield file, path, parent, link.name if link else "", kind, address, *times, link.order if link else None, k
         elif view == "links" and kind == "group":
             for n, x in enumerate(c.links(address)):
-                yield file, path, x.name, x.kind, x.target, x.file, x.address, x.order, x.charset, n
+                yield file, path, x.name, x.kind, x.target, x.file, x.address, x.order, x.charset, n, _leads_to(c, path, x)
         elif view == "attributes":
             for n, a in enumerate(c.attributes(address, by_order=True)):
                 yield file, path, a.name, n, json.dumps(a.type.describe(), separators=(",", ":")), list(a.space.dims), a.raw, _json(c.value(a))
@@ -133,6 +133,14 @@ def catalog_rows(view: str, file: str) -> Iterator[tuple]:
                     yield file, path, list(x.scaled), x.address, x.size, x.mask
 
 
+def _leads_to(c: Container, parent: str, link) -> int | None:
+    """The address of the object that a link leads to, soft ones followed; None: nowhere in this container."""
+    try:
+        return link.address if link.kind == "hard" else c.resolve(f"{parent.rstrip('/')}/{link.name}")
+    except KeyError:
+        return None
+
+
 def _arrow(values, kind: pa.DataType) -> pa.Array:
     if pa.types.is_decimal(kind):
         from decimal import Decimal
@@ -165,7 +173,7 @@ class Reader(DataSourceReader):
     def _ranges(self, d: Dataset) -> list[range]:
         """The chunks inside the bounds, along each dimension."""
         out = []
-        for k, (c, n) in enumerate(zip(d.chunk_shape, d.shape, strict=True)):
+        for k, (c, n) in enumerate(zip(d.read_shape, d.shape, strict=True)):
             low, high = self.bounds.get(k, (0, n))
             low, high = max(0, low), min(n, high)
             out.append(range(low // c, -(-high // c)) if low < high else range(0))
@@ -182,7 +190,7 @@ class Reader(DataSourceReader):
         for f in files:
             c = Container.open(f)
             d = c.dataset(c.resolve(self.options.get("dataset", "/data")))
-            found = {x.scaled: x for x in d.chunks()}
+            found = d.by_place if not d.in_rows else {s: Chunk(s, d.layout.address, 0) for s in itertools.product(*self._ranges(d))}
             if missing != "skip" and d.space.size:
                 chunks = (found.get(s) or Chunk(s, None, 0) for s in itertools.product(*self._ranges(d)))
             else:
@@ -191,7 +199,7 @@ class Reader(DataSourceReader):
             group, size = [], 0
             for x in chunks:
                 group.append(x)
-                size += max(d.chunk_bytes, 1)
+                size += max(math.prod(d.read_shape) * d.type.size, 1)
                 if size >= most:
                     out.append(Part(f, d.address, tuple(group)))
                     group, size = [], 0
@@ -214,25 +222,30 @@ class Reader(DataSourceReader):
         d = c.dataset(part.address)
         schema = to_arrow_schema(self.wanted)
         labels = self.options.get("labels", "false") == "true"
-        rank, shape, chunk = len(d.shape), d.shape, d.chunk_shape
+        rank, shape, chunk = len(d.shape), d.shape, d.read_shape
         dtype = numpy_dtype(d.type) if not (labels and d.type.kind == "enum") and not (d.type.kind == "fixed" and (d.type.offset or d.type.precision < 8 * d.type.size)) else None
         blank = bytes(d.type.size) if self.options.get("missing") == "zero" else d.fill_bytes()
         for x in part.chunks:
             origin = [s * n for s, n in zip(x.scaled, chunk, strict=True)]
             extent = [min(n, m - o) for n, m, o in zip(chunk, shape, origin, strict=True)]
-            raw = d.chunk_data(x) if x.address is not None or d.layout.kind != "chunked" else blank * math.prod(chunk)
-            n = math.prod(chunk)
+            low = [max(0, self.bounds[k][0] - o) if k in self.bounds else 0 for k, o in enumerate(origin)]
+            high = [min(e, self.bounds[k][1] - o) if k in self.bounds else e for k, (e, o) in enumerate(zip(extent, origin, strict=True))]
+            if any(a >= b for a, b in zip(low, high, strict=True)):
+                continue
+            if d.in_rows:
+                # only the rows inside the bounds
+                low, high, origin = [0] * rank, [b - a for a, b in zip(low, high, strict=True)], [o + a for o, a in zip(origin, low, strict=True)]
+                raw, own = d.read(tuple(origin), tuple(high)), high
+            else:
+                raw, own = d.chunk_data(x) if x.address is not None or d.layout.kind != "chunked" else blank * math.prod(chunk), chunk
+            n = math.prod(own)
             if self.view == "tiles":
-                cube = np.frombuffer(raw, f"V{d.type.size}", n).reshape(chunk)[tuple(slice(0, e) for e in extent)].tobytes()
+                cube = np.frombuffer(raw, f"V{d.type.size}", n).reshape(own)[tuple(slice(0, e) for e in extent)].tobytes()
                 values = np.frombuffer(cube, dtype) if dtype is not None else decode(d.type, cube, math.prod(extent), c.heap_object, labels)
                 flat = _arrow(values.astype(dtype.newbyteorder("=")) if dtype is not None else values, schema.field("values").type.value_type)
                 yield pa.RecordBatch.from_arrays([pa.array([list(v)], pa.list_(pa.int64())) for v in (x.scaled, origin, extent)] + [pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], schema=schema)
                 continue
-            low = [max(0, self.bounds[k][0] - o) if k in self.bounds else 0 for k, o in enumerate(origin)]
-            high = [min(e, self.bounds[k][1] - o) if k in self.bounds else e for k, (e, o) in enumerate(zip(extent, origin, strict=True))]
-            if any(a >= b for a, b in zip(low, high, strict=True)):
-                continue
-            cube = np.frombuffer(raw, f"V{d.type.size}", n).reshape(chunk)[tuple(slice(a, b) for a, b in zip(low, high, strict=True))]
+            cube = np.frombuffer(raw, f"V{d.type.size}", n).reshape(own)[tuple(slice(a, b) for a, b in zip(low, high, strict=True))]
             own = [b - a for a, b in zip(low, high, strict=True)]
             total, data = math.prod(own), cube.tobytes()
             for at in range(0, total, 1 << 16):
