@@ -333,6 +333,54 @@ def test_template_markup():
             licenses.Automaton(bad)
 
 
+def template_choices(template, rng):
+    """A random passage that a template accepts, as words."""
+    out, keep, stack = [], True, []
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        if token == "[[":
+            stack.append(keep)
+            keep = keep and rng.random() < 0.5
+        elif token == "]]":
+            keep = stack.pop()
+        elif keep and token[0] == "{":
+            out += [f"any{rng.randrange(9)}" for _ in range(rng.randint(0, int(token[2:-2])))]
+        elif keep:
+            out.append(token)
+    return out
+
+
+def longest_by_regex(template, words, start):
+    """The end of the longest accepted passage, by trying every end against a pattern."""
+    pattern = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        pattern += {"[[": "(?:", "]]": ")?"}.get(token) or (f"(?:[^ ]+ ){{0,{token[2:-2]}}}" if token[0] == "{" else f"{re.escape(token)} ")
+    whole = re.compile(pattern)
+    return next((e for e in range(len(words), start, -1) if whole.fullmatch("".join(f"{w} " for w in words[start:e]))), -1)
+
+
+def test_templates_by_another_matcher():
+    rng = random.Random(11)
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            scanner = licenses.Scanner({label: [template]}, {})
+            for trial in range(4):
+                words = ["before"] * rng.randint(0, 2) + template_choices(template, rng) + ["after"] * rng.randint(0, 2)
+                if trial == 3:
+                    words[rng.randrange(len(words))] = "changed"
+                spans, ready = [], 0
+                for k in range(len(words)):
+                    if k >= ready and (end := longest_by_regex(template, words, k)) >= 0:
+                        spans.append((k, end, label))
+                        ready = end
+                assert scanner.scan(" ".join(words).upper().encode())["spans"] == spans
+                assert spans or trial == 3
+
+
+def test_whole_licenses_are_found():
+    got = licenses.Scanner().scan(("Copyright (c) 2001 Some One\n" + licenses._BSD.replace("[[", "").replace("]]", "") + " " + licenses._BSD_END.replace("{{8}}", "THE AUTHOR")).encode())
+    assert {x for *_, x in got["spans"]} == {"bsd-2-clause", "bsd-3-clause"}
+
+
 # -- SentencePiece ------------------------------------------------------------------
 
 

@@ -9,8 +9,11 @@ mandatory run of each template first, so automata only run where they can accept
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
 
 Defined results: a null text counts as an empty one; a text without words has no labels
-and the score 0; repeated rows and null ids are kept as they are. Only the id and the
-text are read, so other columns may have any name.
+and the score 0; repeated rows and null ids are kept as they are. Of passages of one
+template that begin at a word the longest counts, and the next one begins behind it;
+passages of several templates all count, so a short notice inside a whole license gives
+its label too. Texts of any length are read whole. An empty table gives an empty one.
+Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,16 +29,72 @@ from tilewright.llm.common import pieces_of
 #: Phrases that are looked for as they are, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label -> templates.
+_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the
+warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders
+be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+connection with the software or the use or other dealings in the software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following
+disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_END = """this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct
+indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability
+or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_GNU = """[[this file is part of {{6}}]] {{}} is free software you can redistribute it and or modify it under the terms of the gnu {kind}
+as published by the free software foundation either version {version} of the license or [[at your option]] any later version"""
+
+#: Label -> templates (fixed values): short notices, and the whole wording of public licenses.
 TEMPLATES = {
-    "mit": ["[[this {{2}} is]] released under the [[terms of the]] mit license", "[[is]] licensed under the [[terms of the]] mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2.0": ["licensed under the apache license version 2 0", "released under the apache license [[version]] 2 0"],
-    "gpl-3.0": ["[[this {{2}} is]] [[licensed under]] [[the terms of]] the [[gnu]] general public license version 3 [[0]]", "gnu gpl [[version]] [[v]] 3"],
-    "gpl-2.0": ["[[this {{2}} is]] [[licensed under]] [[the terms of]] the [[gnu]] general public license version 2 [[0]]"],
+    "mit": [
+        "[[this {{2}} is]] released under the [[terms of the]] mit license", "[[is]] licensed under the [[terms of the]] mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        f"""[[the]] [[mit license]] [[mit]] [[copyright [[c]] {{{{12}}}}]] [[all rights reserved]] permission is hereby granted free of charge to any person obtaining a copy of
+        this software and associated documentation files the software to deal in the software without restriction including without limitation the rights
+        to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+        furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]]
+        shall be included in all copies or substantial portions of the software {_WARRANTY}""",
+    ],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0", "released under the apache license [[version]] 2 0",
+        """[[copyright {{12}}]] licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in
+        writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or
+        implied see the license for the specific language governing permissions and limitations under the license""",
+    ],
+    "gpl-3.0": [
+        "[[this {{2}} is]] [[licensed under]] [[the terms of]] the [[gnu]] general public license version 3 [[0]]", "gnu gpl [[version]] [[v]] 3",
+        _GNU.replace("{{}}", "this program").format(kind="general public license", version="3"),
+    ],
+    "gpl-2.0": [
+        "[[this {{2}} is]] [[licensed under]] [[the terms of]] the [[gnu]] general public license version 2 [[0]]",
+        _GNU.replace("{{}}", "this program").format(kind="general public license", version="2"),
+    ],
+    "lgpl-2.1": [_GNU.replace("{{}}", "this library").format(kind="lesser general public license", version="2 1")],
     "cc-by-4.0": ["[[licensed under]] [[a]] cc by 4 0", "creative commons attribution 4 0 international [[license]]"],
     "cc-by-nc-4.0": ["[[licensed under]] [[a]] cc by nc 4 0", "creative commons attribution noncommercial 4 0 international [[license]]"],
     "cc-by-sa-4.0": ["[[licensed under]] [[a]] cc by sa 4 0", "creative commons attribution sharealike 4 0 international [[license]]"],
-    "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "[[licensed under]] the [[3 clause]] bsd license"],
+    "bsd-2-clause": [f"[[copyright [[c]] {{{{12}}}}]] [[all rights reserved]] {_BSD} {_BSD_END}"],
+    "bsd-3-clause": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "[[licensed under]] the [[3 clause]] bsd license",
+        f"""[[copyright [[c]] {{{{12}}}}]] [[all rights reserved]] {_BSD} [[3]] neither the name of {{{{10}}}} nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission {_BSD_END}""",
+    ],
+    "isc": [
+        """[[copyright [[c]] {{12}}]] permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all
+        warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any
+        special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+        negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    ],
+    "zlib": [
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from
+        the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+        redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not
+        required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may
+        not be removed or altered from any source distribution""",
+    ],
     "copyright": ["copyright [[c]] {{6}} all rights reserved"],
 }
 
