@@ -185,3 +185,19 @@ def test_vax_floats_are_bytes():
     """Floats of an order that nothing here computes with are given as their bytes."""
     t = T.Type("float", 4, "vax", True, 0, 32)
     assert T.numpy_dtype(t) is None and T.spark_type(t) == "binary" and T.decode(t, b"abcdefgh", 2) == [b"abcd", b"efgh"]
+
+
+def test_nested_columns_come_back(spark, tmp_path):
+    """Binary, struct and map columns, null ones too, in several containers for a task."""
+    import datetime
+    from decimal import Decimal
+
+    schema = "k long, b binary, s struct<x:int,y:string,t:date,d:decimal(9,2),z:struct<f:boolean>>, m map<string,array<long>>, l array<binary>"
+    rows = [(k, b"\0" * k + b"x", {"x": k, "y": f"v{k}", "t": datetime.date(2020, 1, 1 + k), "d": Decimal("1.25"), "z": {"f": bool(k % 2)}}, {f"a{k}": [k, 2], "": []}, [b"", b"q"]) for k in range(20)] + [(99, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "nested")
+    df.coalesce(1).write.format("tilewright").mode("append").option("file_bytes", "1").option("deflate", "1").save(path)
+    got = spark.read.format("tilewright").schema(schema).option("view", "table").load(path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception, match="null inside"):
+        spark.createDataFrame([([None, 1],)], "a array<int>").write.format("tilewright").mode("append").save(path)

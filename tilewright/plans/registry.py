@@ -420,6 +420,15 @@ def container_table(spark, sf_dir):
     return _table_of(spark, path, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz")
 
 
+@query("SELECT p_partkey, p_size AS size, p_brand AS brand, lower(hex(encode(p_brand))) AS bytes, p_size + 1 AS next FROM part")
+def container_nested(spark, sf_dir):
+    """Struct, binary and map columns through containers of a few kilobytes."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select("p_partkey", F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).alias("s"), F.col("p_brand").cast("binary").alias("b"), F.create_map(F.lit("next"), F.col("p_size") + 1).alias("m"))
+    t = _table_of(spark, _written(rows, spark, 2, file_bytes="4096"), "p_partkey long, s struct<size:int,brand:string>, b binary, m map<string,int>")
+    return t.select("p_partkey", "s.size", "s.brand", F.lower(F.hex("b")).alias("bytes"), F.col("m")["next"].alias("next"))
+
+
 def _embedding_container(spark, sf_dir, **options) -> str:
     """embeddings as one container /data [N, 64] in tiles of 128 x 10: tiles are encoded by
     tasks, and one task lays them out. Its size is checked: one file holds a bounded array."""

@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from tilewright.container.reader import Chunk, Container, Dataset, FormatError
-from tilewright.container.types import Type, decode, integer, floating, numpy_dtype, spark_type, vlen, vlen_string
+from tilewright.container.types import Type, compound, decode, integer, floating, numpy_dtype, spark_type, vlen, vlen_string
 from tilewright.container.writer import GroupNode, build
 
 CATALOG = {
@@ -280,6 +280,8 @@ def read_table(file: str, wanted: StructType):
             values = d.values((at,), (n,))
             if some is not None:
                 values = [v if ok else None for v, ok in zip(values, some.values((at,), (n,)), strict=True)]
+            if _nested(f.type):
+                values = [_from_element(v, f.type) for v in values]
             if pa.types.is_boolean(f.type):
                 values = [None if v is None else bool(v) for v in values]
             if pa.types.is_timestamp(f.type) or pa.types.is_date(f.type):
@@ -308,11 +310,75 @@ def element_type(kind: pa.DataType) -> Type:
         return integer(4)
     if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_decimal(kind):
         return vlen_string()
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return vlen(integer(1, signed=False))
     if pa.types.is_list(kind):
         return vlen(element_type(kind.value_type))
+    if pa.types.is_struct(kind):
+        return compound(*((f.name, element_type(f.type)) for f in kind))
+    if pa.types.is_map(kind):
+        return vlen(compound(("key", element_type(kind.key_type)), ("value", element_type(kind.item_type))))
     raise ValueError(f"no element type for {kind}")
 
 
+def _to_element(v, kind: pa.DataType):
+    """A Python value of a column as its element type holds it."""
+    if v is None:
+        raise ValueError(f"a null inside a list, struct or map can't be stored ({kind})")
+    if pa.types.is_decimal(kind):
+        return str(v)
+    if pa.types.is_timestamp(kind) or pa.types.is_date(kind):
+        return pa.scalar(v, kind).cast(pa.int64() if pa.types.is_timestamp(kind) else pa.int32()).as_py()
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return list(v)
+    if pa.types.is_list(kind):
+        return [_to_element(x, kind.value_type) for x in v]
+    if pa.types.is_struct(kind):
+        return {f.name: _to_element(v[f.name], f.type) for f in kind}
+    if pa.types.is_map(kind):
+        return [{"key": _to_element(k, kind.key_type), "value": _to_element(x, kind.item_type)} for k, x in v]
+    return v
+
+
+def _from_element(v, kind: pa.DataType):
+    """The Python value of a column for an element; None stays."""
+    if v is None:
+        return None
+    if pa.types.is_boolean(kind):
+        return bool(v)
+    if pa.types.is_decimal(kind):
+        from decimal import Decimal
+
+        return Decimal(v)
+    if pa.types.is_timestamp(kind) or pa.types.is_date(kind):
+        return pa.scalar(v, pa.int64() if pa.types.is_timestamp(kind) else pa.int32()).cast(kind).as_py()
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return bytes(v)
+    if pa.types.is_list(kind):
+        return [_from_element(x, kind.value_type) for x in v]
+    if pa.types.is_struct(kind):
+        return {f.name: _from_element(v[f.name], f.type) for f in kind}
+    if pa.types.is_map(kind):
+        return [(_from_element(x["key"], kind.key_type), _from_element(x["value"], kind.item_type)) for x in v]
+    return v
+
+
+def _nested(kind: pa.DataType) -> bool:
+    return pa.types.is_nested(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)
+
+
+def _blank(t: Type):
+    """A value that stands where a column is null."""
+    if t.is_string:
+        return ""
+    return [] if t.kind == "vlen" else {n: _blank(m) for n, _, m in t.members} if t.kind == "compound" else 0
+
+
+def _fixed(t: Type) -> bool:
+    """Whether an element's bytes are its whole value."""
+    return t.kind != "vlen" and not t.is_string and all(_fixed(m) for _, _, m in (t.members if t.kind == "compound" else ()))
+
+
 def table_node(batches: list[pa.RecordBatch], schema: pa.Schema, chunk: int, filters: tuple = ()) -> GroupNode:
     """A root group with /table. Columns with nulls have a companion of flags; only
     fixed-size columns are filtered, with their own element size for the shuffle."""
@@ -323,9 +389,12 @@ def table_node(batches: list[pa.RecordBatch], schema: pa.Schema, chunk: int, fil
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks or [pa.array([], f.type)])
         if pa.types.is_timestamp(f.type) or pa.types.is_date(f.type):
             column = column.cast(pa.int64() if pa.types.is_timestamp(f.type) else pa.int32())
-        blank = "" if t.is_string else [] if t.kind == "vlen" else 0
-        values = [blank if v is None else str(v) if pa.types.is_decimal(f.type) else v for v in column.to_pylist()]
-        own = tuple((k, (t.size,) if k == 2 else p) for k, p in filters) if t.kind != "vlen" else ()
+        blank = _blank(t)
+        if _nested(f.type):
+            values = [blank if v is None else _to_element(v, f.type) for v in column.to_pylist()]
+        else:
+            values = [blank if v is None else str(v) if pa.types.is_decimal(f.type) else v for v in column.to_pylist()]
+        own = tuple((k, (t.size,) if k == 2 else p) for k, p in filters) if _fixed(t) else ()
         group.dataset(f.name, t, (n,), values, chunk=(max(1, min(chunk, n)),), filters=own)
         if column.null_count:
             group.dataset("?" + f.name, integer(1, signed=False), (n,), [int(v is not None) for v in column.to_pylist()], chunk=(max(1, min(chunk, n)),))
@@ -334,47 +403,60 @@ def table_node(batches: list[pa.RecordBatch], schema: pa.Schema, chunk: int, fil
 
 @dataclass
 class Written(WriterCommitMessage):
-    file: str
+    files: list[str]
     rows: int
 
 
 class Writer(DataSourceArrowWriter):
-    """Each task writes a container of its own under a name that no other attempt has; the
-    commit gives the files their names, an abort removes them."""
+    """Each task writes containers of its own, of about ``file_bytes`` of rows each, under
+    names that no other attempt has, so it holds no more than that at a time; the commit
+    gives the files their names, an abort removes them."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         uri = urlparse(options["path"])
         if uri.scheme not in ("", "file"):
             raise ValueError("containers are written to file paths that driver and executors share")
         self.path, self.schema, self.overwrite = unquote(uri.path) if uri.scheme else options["path"], schema, overwrite
-        self.chunk = int(options.get("chunk", 4096))
+        self.chunk, self.file_bytes = int(options.get("chunk", 4096)), int(options.get("file_bytes", 64 << 20))
         level = int(options.get("deflate", 0))
         self.filters = (((2, (1,)),) if options.get("shuffle", "false") == "true" else ()) + (((1, (level,)),) if level else ()) + (((3, ()),) if options.get("fletcher32", "false") == "true" else ())
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        own = list(batches)
-        schema = own[0].schema if own else to_arrow_schema(self.schema)
         os.makedirs(f"{self.path}/_temporary", exist_ok=True)
-        name = f"{self.path}/_temporary/{uuid.uuid4().hex}"
-        with open(name, "wb") as out:
-            out.write(build(table_node(own, schema, self.chunk, self.filters)))
-        return Written(name, sum(b.num_rows for b in own))
+        files, rows, own, size = [], 0, [], 0
+
+        def flush() -> None:
+            schema = own[0].schema if own else to_arrow_schema(self.schema)
+            files.append(f"{self.path}/_temporary/{uuid.uuid4().hex}")
+            with open(files[-1], "wb") as out:
+                out.write(build(table_node(own, schema, self.chunk, self.filters)))
+
+        for batch in batches:
+            rows += batch.num_rows
+            own.append(batch)
+            size += batch.nbytes
+            if size >= self.file_bytes:
+                flush()
+                own, size = [], 0
+        if own or not files:
+            flush()
+        return Written(files, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
         old = [] if not self.overwrite else files_of(self.path) if os.path.isdir(self.path) else []
         run = uuid.uuid4().hex[:12]
-        for k, m in enumerate(m for m in messages if m):
-            os.replace(m.file, f"{self.path}/part-{k:05d}-{run}.h5")
+        for k, f in enumerate(f for m in messages if m for f in m.files):
+            os.replace(f, f"{self.path}/part-{k:05d}-{run}.h5")
         for f in old:
             os.remove(f)
         self._tidy()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and os.path.exists(m.file):
-                os.remove(m.file)
+        for f in (f for m in messages if m for f in m.files):
+            if os.path.exists(f):
+                os.remove(f)
         self._tidy()
 
     def _tidy(self) -> None:
