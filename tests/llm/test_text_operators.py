@@ -507,6 +507,52 @@ def test_toxicity(spark, nothing):
     assert {r.score < 0.01 for r in toxicity.judged(df, labels.limit(0)).collect()} == {True}
 
 
+def fold_by_hand(text):
+    """Character by character: look-alikes, signs between letters, digits, then words."""
+    out = []
+    for c in (text or "").lower():
+        to = toxicity._FOLD.get(ord(c), c)
+        out += [] if to is None else [to]
+    whole = "".join(out)
+    word = lambda k: 0 <= k < len(whole) and (whole[k].isalnum() or whole[k] == "_")
+    out = ["i" if c in "!|" and word(k - 1) and word(k + 1) else c for k, c in enumerate(whole)]
+    signs = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "l": "i"}
+    out = [c if ord(c) >= 128 else signs.get(c) or (c if c.isalpha() else " ") for c in out]
+    return " " + " ".join(w for w in "".join(out).split(" ") if w) + " "
+
+
+def score_by_hand(lexicon, text):
+    """Every term tried at every place; of overlapping hits the heaviest, none in an exception."""
+    whole = fold_by_hand(text)
+    find = lambda t: [k for k in range(len(whole)) if whole.startswith(t, k)]
+    excused = [(k, k + len(t)) for t in lexicon.exceptions for k in find(t)]
+    hits = sorted((k, k + len(t), w) for t, w in lexicon.weights.items() for k in find(t) if not any(a <= k and k + len(t) <= b for a, b in excused))
+    best = []
+    for h in hits:
+        if best and h[0] < best[-1][1] - 1:
+            best[-1] = h if h[2] > best[-1][2] else best[-1]
+        else:
+            best.append(h)
+    total, n = sum(h[2] for h in best), len(whole.split())
+    z = lexicon.curve[0] + lexicon.curve[1] * np.log1p(total) + lexicon.curve[2] * np.log1p(100 * total / max(1, n))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every document of a table against a matcher without an automaton."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.weights
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    extra = ["", None, "F\u0430ke! l!ke 1t", "a\u200bb|c"] + [f"x {t} y {e}" for t in lexicon.weights for e in [*lexicon.exceptions, ""]]
+    for text in extra:
+        assert lexicon.score(text) == pytest.approx(score_by_hand(lexicon, text), abs=1e-9)
+    for i, text in texts.items():
+        if len(text or "") < 4000:
+            assert got[i] == pytest.approx(score_by_hand(lexicon, text), abs=1e-9), i
+
+
 def test_lexicon_folds_and_excuses():
     lex = toxicity.Lexicon({" idiot ": 3.0, " scum": 2.0}, frozenset({" useful idiot "}), (-2.0, 2.0, 0.0))
     assert lex.measures("An ID10T!")[0] > 0 and lex.measures("1d!\u200bot") > (0, 0) and lex.measures("ѕсum") > (0, 0)

@@ -8,9 +8,11 @@ curve fitted on the same labelled rows.
 
 Defined results: a null text counts as an empty one; an empty text has a score like
 any other; a row with a null id is scored and never used for fitting; repeated rows
-are scored one by one; labels without a document and null labels are left out. With
-no labelled rows of one class, the score is the share of label 1 (0.5 if there are
-no labels). Only the id and the text are read, so other columns may have any name.
+are scored one by one, equal texts alike; a score of exactly the bound is accepted. Texts
+of any length are measured whole. Labels without a document and null labels are left
+out. With no labelled rows of one class, the score is the share of label 1 (0.5 if there
+are no labels); an empty table gives an empty one. Only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ a Zipf law over the ranks. The tables are built on the driver from the vocabular
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; a
 marker character in the text decodes to a space, as in the format itself; all else
-comes back exactly. Only the id and the text are read, so other columns may have any
-name; repeated rows and null ids are kept as they are.
+comes back exactly. Of segmentations with equal scores the one with the longest last piece
+counts. Texts of any length are encoded whole. An empty table gives an empty one. Only the
+id and the text are read, so other columns may have any name; repeated rows and null ids
+are kept as they are.
 """
 
 from __future__ import annotations

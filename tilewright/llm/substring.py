@@ -21,7 +21,10 @@ hash.
 Defined results: null and empty texts have no words; texts of fewer words than a window
 lose none; a null doc_id comes after all others; rows with equal id and text are one
 document and get the same result; rows with one id and different texts are ordered by a
-hash of the text. Only the id and the text are read.
+hash of the text. Of equal windows the one of the smallest id, then place, stays. Texts
+of any length are read whole, in batches that end between documents. An empty table
+gives an empty one. Only the id and the text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations

@@ -9,9 +9,12 @@ as such and for each hundred words, gives a score by a logistic curve.
 
 Defined results: a null text counts as an empty one; a text without hits has the score
 of the curve at zero; a row with a null id is scored and never used for fitting;
-repeated rows are scored one by one. Without toxic or clean labelled rows the lexicon
-is empty and the score is the share of toxic labels (0 without labels). Only the id and
-the text are read, so other columns may have any name.
+repeated rows are scored one by one, equal texts alike. Of hits that overlap the heaviest
+counts, of equally heavy ones the first; a score of exactly the bound is toxic; terms of
+equal gain are taken in the order of length, then letters. Texts of any length are
+folded and matched whole. Without toxic or clean labelled rows the lexicon is empty and
+the score is the share of toxic labels (0 without labels); an empty table gives an empty
+one. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import drop_stored, held_out, pieces_of, stored, with_labels
 
-#: At most so many labelled rows are used for fitting, and so many terms kept.
+#: Parameters of the model: at most so many labelled rows are used for fitting, and the
+#: lexicon has so many terms at most.
 MOST_LABELLED, MOST_TERMS = 6_000, 400
 STEMS = (4, 5)
 
@@ -169,8 +173,8 @@ def _pick(docs_of: dict[str, set[int]], weight: dict[str, float], most_terms: in
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_terms: int = MOST_TERMS, least_docs: int = 5) -> Lexicon:
     """Learn terms, weights, exceptions and the curve from at most ``most`` labelled
-    rows outside the held-out part, equal texts counted once. The driver gets
-    ``50 x most_terms`` term counts and ``most`` short rows at most."""
+    rows outside the held-out part, equal texts counted once. The driver gets counts of
+    the terms of these rows and ``most`` short rows at most."""
     rows = stored(with_labels(docs, labels, "toxic", most).groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")))
     n_toxic, n_clean = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n_toxic, n_clean = n_toxic or 0, n_clean or 0
@@ -187,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_term
         yield from _count_batches(toxic=count)
 
     counts = rows.where("y = 1").mapInArrow(in_toxic, "t string, toxic long").groupBy("t").agg(F.sum("toxic").alias("toxic"))
-    toxic = {r.t: r.toxic for r in counts.where(F.col("toxic") >= least_docs).orderBy(F.desc("toxic"), "t").limit(50 * most_terms).collect()}
+    toxic = {r.t: r.toxic for r in counts.where(F.col("toxic") >= least_docs).collect()}
 
     def in_clean(batches):
         count = Counter()
@@ -198,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_term
     counts = rows.where("y = 0").mapInArrow(in_clean, "t string, clean long").groupBy("t").agg(F.sum("clean").alias("clean"))
     clean = {r.t: r.clean for r in counts.collect()}
     weight = {t: min(6.0, math.log(((k + 0.5) / (n_toxic + 1)) / ((clean.get(t, 0) + 0.5) / (n_clean + 1)))) for t, k in toxic.items()}
-    strong = {t: w for t, w in sorted(weight.items(), key=lambda x: (-x[1] * math.sqrt(toxic[x[0]]), x[0]))[: 8 * most_terms] if w >= 2}
+    strong = {t: w for t, w in sorted(weight.items(), key=lambda x: (-x[1] * math.sqrt(toxic[x[0]]), x[0])) if w >= 2}
 
     def present(batches):
         for folded, _ in _folded(batches):
@@ -225,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_term
         yield from _count_batches(toxic=toxic, clean=clean)
 
     pairs = rows.mapInArrow(around, "t string, toxic long, clean long").groupBy("t").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    excused = pairs.where("clean >= 3 and clean >= 4 * toxic").orderBy(F.desc("clean"), "t").limit(most_terms).collect()
+    excused = pairs.where("clean >= 3 and clean >= 4 * toxic").collect()
     lexicon = Lexicon(weights, frozenset(r.t for r in excused))
 
     def measured(batches):
