@@ -874,6 +874,6 @@ def slab_window(spark, sf_dir):
     return dims.hyperslab(_stored_cells(spark, sf_dir), [0], [50], ["d0"]).select("d0", "d1", F.row_number().over(w).cast("long").alias("place"))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """The rectangle over the smallest tables, through a container."""
-    return container_slab(spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangle, through a container."""
+    return container_slab(spark, sf_dir)
