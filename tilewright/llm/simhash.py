@@ -489,7 +489,12 @@ def _verified(texts: DataFrame, rows: DataFrame, roots: DataFrame, width: int) -
     nodes = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", "text_key", "n", F.coalesce("root", "fp").alias("root")))
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.sum(8 * F.col("n")).alias("bytes")).where("nodes > 1")
     parts = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
-    asked = stored(nodes.join(sizes.select("root", F.greatest(parts, F.lit(1)).alias("parts")), "root").select("text_key", "node", "n", "root", "parts"))
+    sizes = stored(sizes.select("root", "nodes", F.greatest(parts, F.lit(1)).alias("parts")))
+    # components of over a thousandth of all nodes, a thousand at most, meet them by a broadcast
+    n_nodes = nodes.count()
+    often = F.broadcast(sizes.where(F.col("nodes") * 1000 > n_nodes))
+    rest = nodes.join(often.select("root"), "root", "left_anti").join(sizes.where(F.col("nodes") * 1000 <= n_nodes), "root")
+    asked = stored(nodes.join(often, "root").unionByName(rest).select("text_key", "node", "n", "root", "parts"))
     total = asked.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(8 * F.col("n")), F.lit(0)).alias("bytes")).first()
     tasks = int(max(rows.sparkSession.sparkContext.defaultParallelism * 4, -(-total.bytes // BLOCK_BYTES)))
     asked = asked.drop("n")
