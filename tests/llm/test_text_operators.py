@@ -242,6 +242,19 @@ def test_substring_dedup(docs, rows, nothing, window, monkeypatch):
     assert substring.judged(nothing).count() == 0
 
 
+def test_substring_dedup_by_colliding_hashes(spark):
+    texts = some_texts(24) + ["same words " * 40] * 2 + [" ".join(WORDS * 9)] * 2
+    want = repeats_by_hand(list(enumerate(texts)), 10)
+    got = substring.without_repeats(table(spark, texts), 10, bits=9).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_classes_of_runs_compare_words():
+    codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    got = substring._classes(codes, np.arange(7), 3, np.zeros(7, np.uint64))
+    assert [[a == b for b in got] for a in got] == [[a == b or {a, b} == {0, 6} for b in range(7)] for a in range(7)]
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     text = " ".join(WORDS * 2)
     df = table(spark, [text, text, text], [None, 7, 7])
