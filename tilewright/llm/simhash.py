@@ -145,7 +145,7 @@ def _meetings(fps: np.ndarray, left: np.ndarray, depth: int, part: int, bits: in
     free = bits - depth
     if len(fps) < 2:
         return
-    if _variants(free, left).sum() > part and free > 8:
+    if _variants(free, left).sum() > part and free:
         bit = (fps >> np.uint64(free - 1)) & np.uint64(1)
         for v in (0, 1):
             now = left - (bit != v)
@@ -162,8 +162,12 @@ def _meetings(fps: np.ndarray, left: np.ndarray, depth: int, part: int, bits: in
             keys.append((tails[own][:, None] ^ masks[None, :]).ravel())
             owners.append(np.repeat(own.astype(np.int32), len(masks)))
     key, owner = np.concatenate(keys), np.concatenate(owners)
+    del keys, owners
     order = np.argsort(key, kind="stable")
-    yield key[order], owner[order].astype(np.int64)
+    key, owner = key[order], owner[order].astype(np.int64)
+    # nothing but the part itself is held while it is compared
+    del order
+    yield key, owner
 
 
 def _met(fps: np.ndarray, left: np.ndarray, depth: int, radius: int, part: int):
@@ -274,8 +278,9 @@ WIDE, KEY, APART = 256, 32, 72
 SIMILAR, BLOCK_BYTES = (4, 5), 16 << 20
 #: Fingerprints of a bucket over which it is cut into blocks, each two of which are a task.
 HOT = 1 << 18
-#: Fingerprints at a variant that are compared together, and pairs that are compared at a time.
-FEW, PAIRS = 64, 1 << 20
+#: Fingerprints at a variant that are compared together; variants of keys that a task holds at
+#: a time and pairs that it compares at a time, about 100 and 35 bytes each.
+FEW, HELD, PAIRS = 64, 1 << 20, 1 << 18
 
 
 def _shingles(data: bytes, width: int) -> np.ndarray:
@@ -463,7 +468,7 @@ def _grouped(docs: DataFrame, width: int, apart: int) -> tuple[DataFrame, DataFr
         own = next(k for s, k in keys(wide) if s == t)
         left = half - np.bitwise_count((own >> np.uint64(bits - lead)) ^ bucket).astype(np.int64)
         label, tree, seen = np.arange(len(own)), [], set()
-        for variant, owner in _meetings(own, left, lead, PART, bits):
+        for variant, owner in _meetings(own, left, lead, HELD, bits):
             label = _linked(wide, variant, owner, label, apart, tree, seen)
         tree = np.concatenate(tree) if tree else np.zeros((0, 2), np.int64)
         names = _nodes(wide)
