@@ -13,3 +13,35 @@ def test_entry_points(spark):
 
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 350
+
+
+def _events(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, event_type string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def _by_sql(path, name):
+    import duckdb
+
+    return sorted(duckdb.sql(f"WITH events AS (SELECT * FROM '{path}/events.parquet/*.parquet') {registry.ORACLE[name]}").fetchall(), key=str)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_container_enum_has_no_bound_on_rows(spark, sf_dir, same, monkeypatch):
+    monkeypatch.setattr(registry, "MOST_ROWS", 100)
+    monkeypatch.setattr(registry, "ROWS_EACH", 70, raising=False)
+    same(registry.container_enum(spark, sf_dir), registry.ORACLE["container_enum"])
+
+
+@pytest.mark.parametrize("rows", [
+    [],
+    [(7, "view"), (2999, "click"), (1_000_000_000_000, "view")],
+    [(3, None), (4, "-1"), (0, ""), (1, "base")],
+    [(5, "view"), (5, "click"), (5, "view"), (6, None)],
+], ids=["none", "gaps", "null and odd types", "repeated"])
+def test_container_enum_places_rows_by_id(spark, tmp_path, rows):
+    path = _events(spark, tmp_path, rows)
+    assert _rows(registry.container_enum(spark, path)) == _by_sql(path, "container_enum")

@@ -547,6 +547,48 @@ def _one_container(df: DataFrame, make) -> str:
     return f"{path}/one.h5"
 
 
+ROWS_EACH = 1 << 18
+
+
+def _containers(df: DataFrame, key: str, make) -> str:
+    """A folder of containers, of about ROWS_EACH rows each, for any number of rows. Tasks lay
+    them out, each with a range of the key and the rows of one container at a time: make(rows
+    as a pandas frame) yields root groups. Files of failed attempts stay in _temporary."""
+    import os
+    import uuid
+
+    from tilewright.container.writer import build
+
+    arrays.register(df.sparkSession)
+    path, most = scratch(df.sparkSession), ROWS_EACH
+
+    def written(rows):
+        os.makedirs(f"{path}/_temporary", exist_ok=True)
+        for root in make(rows):
+            name = f"{uuid.uuid4().hex}.h5"
+            with open(f"{path}/_temporary/{name}", "wb") as out:
+                out.write(build(root))
+            yield name
+
+    def lay_out(frames):
+        import pandas as pd
+
+        held, n = [], 0
+        for rows in frames:
+            held.append(rows)
+            n += len(rows)
+            if n >= most:
+                yield pd.DataFrame({"name": list(written(pd.concat(held, ignore_index=True)))})
+                held, n = [], 0
+        if n:
+            yield pd.DataFrame({"name": list(written(pd.concat(held, ignore_index=True)))})
+
+    made = df.repartitionByRange(key).sortWithinPartitions(key).mapInPandas(lay_out, "name string").collect()
+    for name in [r.name for r in made] or written(df.limit(0).toPandas()):
+        os.replace(f"{path}/_temporary/{name}", f"{path}/{name}")
+    return path
+
+
 @query("SELECT p_partkey, p_size AS size, p_retailprice AS price, p_brand AS brand FROM part")
 def container_compound(spark, sf_dir):
     """part as compounds with a big-endian member, compressed, and members read alone."""
@@ -562,14 +604,34 @@ def container_compound(spark, sf_dir):
 
 @query("SELECT event_id AS d0, event_type AS label FROM events")
 def container_enum(spark, sf_dir):
-    def make(root, rows):
-        rows = rows.sort_values("event_id")
-        names = sorted(set(rows["event_type"]))
-        t = T.enum(T.integer(1), **{n: k for k, n in enumerate(names)})
-        root.dataset("data", t, (len(rows),), [names.index(x) for x in rows["event_type"]], chunk=(1000,), most=(None,))
-
-    path = _one_container(table(spark, sf_dir, "events").select("event_id", "event_type"), make)
-    return spark.read.format("tilewright").option("labels", "true").load(path).select("d0", F.col("value").alias("label"))
+    """events as an array of labels with event_id as its coordinate, in a folder of containers:
+    each has the same array and stores the chunks of its own ids. Ids without an event hold a
+    code without a member, which is left out; rows that repeat an id are in more containers."""
+    from tilewright.container.writer import GroupNode
+
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    nowhere = F.col("event_id").isNull() | (F.col("event_id") < 0)
+    names, n, odd = events.agg(F.array_sort(F.collect_set("event_type")), F.coalesce(F.max("event_id") + 1, F.lit(0)), F.count_if(nowhere)).first()
+    if odd:
+        raise ValueError(f"{odd} events have no place in an array, their ids are null or negative")
+    gap, null = [k for k in range(-1, -128, -1) if str(k) not in names][:2]
+    t = T.enum(T.integer(1 if len(names) < 128 else 2 if len(names) < 1 << 15 else 4), **{x: k for k, x in enumerate(names)})
+
+    def make(rows):
+        for _, own in rows.groupby(rows.groupby("event_id").cumcount()) if len(rows) else [(0, rows)]:
+            ids = own["event_id"].to_numpy(np.int64)
+            places, at = np.unique(ids // 1000, return_inverse=True)
+            chunks = np.full((len(places), 1000), gap)
+            chunks[at, ids % 1000] = own["code"].to_numpy(np.int64)
+            root = GroupNode()
+            d = root.dataset("data", t, (n,), None, chunk=(1000,), most=(None,), fill=gap, index="b-tree v2")
+            d.tiles = {(k,): codecs.encode(T.encode(t, c), ()) for k, c in zip(places.tolist(), chunks, strict=True)}
+            yield root
+
+    code = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("event_type")) - 1
+    path = _containers(events.select("event_id", F.coalesce(code, F.lit(null)).alias("code")), "event_id", make)
+    cells = spark.read.format("tilewright").options(labels="true", missing="skip").load(path).where(F.col("value") != str(gap))
+    return cells.select("d0", F.when(F.col("value") != str(null), F.col("value")).alias("label"))
 
 
 @query("SELECT p_partkey AS d0, CASE WHEN p_partkey // 100 % 2 = 0 THEN p_size ELSE -999 END AS value FROM part")
