@@ -45,3 +45,14 @@ def test_container_enum_has_no_bound_on_rows(spark, sf_dir, same, monkeypatch):
 def test_container_enum_places_rows_by_id(spark, tmp_path, rows):
     path = _events(spark, tmp_path, rows)
     assert _rows(registry.container_enum(spark, path)) == _by_sql(path, "container_enum")
+
+
+def test_u64_json_beyond_64_bits(spark, tmp_path):
+    ids = [0, 1000, 1001, 1_023_999, 1_024_001, 2_048_001, 5_999_999, 2**63 - 1, -1, -(2**63), None]
+    path = _events(spark, tmp_path, [(k, "view") for k in ids])
+
+    def text(v):
+        return v if v is None else f'"{v}"' if v > 2**53 else str(v)
+
+    want = [(k, text(None if k is None else k * 9007199254740)) for k in ids]
+    assert _rows(registry.u64_json(spark, path)) == sorted(want, key=str)
