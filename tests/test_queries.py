@@ -56,3 +56,15 @@ def test_u64_json_beyond_64_bits(spark, tmp_path):
 
     want = [(k, text(None if k is None else k * 9007199254740)) for k in ids]
     assert _rows(registry.u64_json(spark, path)) == sorted(want, key=str)
+
+
+def test_unsigned_wrap_has_no_bound_on_rows(spark, sf_dir, same, monkeypatch):
+    monkeypatch.setattr(registry, "MOST_ROWS", 100)
+    monkeypatch.setattr(registry, "ROWS_EACH", 70, raising=False)
+    same(registry.unsigned_wrap(spark, sf_dir), registry.ORACLE["unsigned_wrap"])
+
+
+@pytest.mark.parametrize("ids", [[], [3, 3, 2**31, 70_000, 5_999_999]], ids=["none", "gaps and repeated"])
+def test_unsigned_wrap_of_odd_ids(spark, tmp_path, ids):
+    path = _events(spark, tmp_path, [(k, "view") for k in ids])
+    assert _rows(registry.unsigned_wrap(spark, path)) == _by_sql(path, "unsigned_wrap")

@@ -345,14 +345,17 @@ def complex_pairs(spark, sf_dir):
 
 @query("SELECT event_id, (event_id * 977 & 255)::SMALLINT AS u8, (event_id * 977 & 65535)::INT AS u16, event_id * 9770011 & 4294967295 AS u32 FROM events")
 def unsigned_wrap(spark, sf_dir):
-    """Unsigned members of one, two and four bytes, little- and big-endian."""
+    """Unsigned members of one, two and four bytes, little- and big-endian, in a folder of containers."""
+    from tilewright.container.writer import GroupNode
 
-    def make(root, rows):
+    def make(rows):
         t = T.compound(("id", T.integer(8)), ("u8", T.integer(1, signed=False)), ("u16", T.integer(2, signed=False, order=">")), ("u32", T.integer(4, signed=False)))
         values = [{"id": k, "u8": k * 977 & 255, "u16": k * 977 & 65535, "u32": k * 9770011 & 0xFFFFFFFF} for k in rows["event_id"].tolist()]
+        root = GroupNode()
         root.dataset("data", t, (len(values),), values, chunk=(999,))
+        yield root
 
-    path = _one_container(table(spark, sf_dir, "events").select("event_id"), make)
+    path = _containers(table(spark, sf_dir, "events").select("event_id"), "event_id", make)
     return spark.read.format("tilewright").load(path).select(F.col("value.id").alias("event_id"), "value.u8", "value.u16", "value.u32")
 
 
